@@ -108,7 +108,8 @@ def skew(df: DataFrame, server_ms: str, client_ms: str) -> DataFrame:
 
 
 def latency_ms(detected_ms: Column, emitted_ms: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor(emitted_ms - detected_ms + 0.5)).cast("bigint")
+    elapsed = F.floor(emitted_ms - detected_ms + 0.5)
+    return F.when(elapsed < 0, 0).otherwise(elapsed).cast("bigint")
 
 
 def same_moment(a_ms: Column, b_ms: Column, tolerance_ms: int = CORRELATION_TOLERANCE_MS) -> Column:

@@ -22,7 +22,8 @@ WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 def haversine_km(a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column) -> Column:
     half_lat, half_lng = F.radians(b_lat - a_lat) / 2, F.radians(b_lng - a_lng) / 2
     s = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(a_lat)) * F.cos(F.radians(b_lat)) * F.sin(half_lng) * F.sin(half_lng)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    # Not least(1, s): that would turn an unknown position into half the globe.
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.when(s > 1, 1.0).otherwise(F.sqrt(s)))
 
 
 def ellipsoidal_km(a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column) -> Column:
@@ -32,7 +33,7 @@ def ellipsoidal_km(a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column) -
     half_dlat = (beta(b_lat) - beta(a_lat)) / 2
     half_dlng = F.radians(b_lng - a_lng) / 2
     h = F.pow(F.sin(half_dlat), 2) + F.cos(beta(a_lat)) * F.cos(beta(b_lat)) * F.pow(F.sin(half_dlng), 2)
-    sigma = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    sigma = 2 * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
     x = (sigma - F.sin(sigma)) * F.pow(F.sin(p) * F.cos(q), 2) / F.greatest(F.pow(F.cos(sigma / 2), 2), F.lit(1e-300))
     y = (sigma + F.sin(sigma)) * F.pow(F.cos(p) * F.sin(q), 2) / F.greatest(F.pow(F.sin(sigma / 2), 2), F.lit(1e-300))
     return F.when(sigma == 0, 0.0).otherwise(WGS84_A / 1000 * (sigma - WGS84_F / 2 * (x + y)))
@@ -67,7 +68,7 @@ def hop(
     speed = distance_m / F.greatest(elapsed_s + tolerance_s, F.lit(HOP_MIN_ELAPSED_S)) * 3.6
     backwards = elapsed_s < -tolerance_s
     judged = distance_m.isNotNull() & ~backwards
-    text = F.format_number(speed, "0.0")
+    text = F.format_string("%.1f", speed)
     reason = (
         F.when(distance_m.isNull(), "one or both cameras have no verified position")
         .when(backwards, "second sighting precedes the first by more than the clock tolerance")
