@@ -42,6 +42,8 @@ def stitched(
     for i, e in enumerate(running_last.values()):
         base = base.withColumn(f"__l{i}", e)
 
+    # One shuffle, by key and chunk, that the carries and the windows below both reuse.
+    base = base.repartition(*keys, _CHUNK)
     position = F.struct(*[F.col(c) for c in order])
     carry_aggs = []
     if previous:

@@ -108,8 +108,8 @@ select 'dept' || cast(r_regionkey as string) as department_id, lower(r_name) as
 
 def centroids(d):
     return """
-select n_name as name, 20e0 + (n_nationkey * 41 % 500) / 1e2 as lat, 68e0 + (n_nationkey * 67 % 600) / 1e2 as lng
-from {nation} where n_nationkey % 5 <> 2"""
+select case when n_nationkey % 5 = 2 then 'old ' else '' end || n_name as name, 20e0 + (n_nationkey * 41 % 500) / 1e2 as lat, 68e0 + (n_nationkey * 67 % 600) / 1e2 as lng
+from {nation}"""
 
 
 def assignments(d):
@@ -127,9 +127,10 @@ select event_id, 'cam' || cast(user_id % 120 as string) as camera_id, {d.ms('ts'
 
 def streams(d):
     return """
-select 'cam' || cast(s_suppkey as string) as camera_id, case when s_suppkey % 5 = 0 then 'HLS' else 'RTSP' end as source_type,
+select case when s_suppkey % 6 = 1 then 'unlisted' else 'cam' end || cast(s_suppkey as string) as camera_id,
+  case when s_suppkey % 5 = 0 then 'HLS' else 'RTSP' end as source_type,
   s_suppkey % 9 = 0 as is_local_mirror, 1920 as width, 1080 as height, 25e0 as fps
-from {supplier} where s_suppkey % 6 <> 1"""
+from {supplier}"""
 
 
 # --- index ----------------------------------------------------------------------------------
@@ -146,15 +147,16 @@ from {{orders}}"""
 
 
 def index_signatures(d):
+    # People are tracked but never get a signature.
     return f"""
-select 'trk' || cast(o_orderkey as string) as track_id,
-  case o_orderkey % 5 when 0 then 'car' when 1 then 'truck' when 2 then 'motorcycle' when 3 then 'bus' else 'bicycle' end as cls,
+select * from (select 'trk' || cast(o_orderkey as string) as track_id,
+  case o_orderkey % 5 when 0 then 'car' when 1 then 'truck' when 2 then 'motorcycle' when 3 then 'bus' else 'person' end as cls,
   case o_orderkey % 6 when 0 then 'white' when 1 then 'grey' when 2 then 'black' when 3 then 'red' when 4 then 'blue' end as colour,
   (o_orderkey % 100) / 1e2 as colour_confidence, o_orderkey % 7 = 0 as colour_uncertain,
   case when o_orderkey % 4 = 0 then 'GJ' || lpad(cast(o_orderkey % 39 as string), 2, '0') || 'AB'
     || lpad(cast(o_custkey % 10000 as string), 4, '0') end as partial_plate,
   case when o_orderkey % 13 = 0 then 0 else 512 end as embedding_size
-from {{orders}} where o_orderkey % 5 <> 4"""
+from {{orders}}) s where cls <> 'person'"""
 
 
 def detections(d):
@@ -231,6 +233,34 @@ select 'trk' || cast({d.idiv('vec_id', '4')} as string) as track_id, vec_id % 4
   60 + vec_id * 31 % 400 as width, 40 + vec_id * 17 % 300 as height, {vec} as embedding from {{embeddings}}"""
 
 
+def _vector_cells(d):
+    """(vec_id, pos, n): a whole number from each component of each vector, to make pixels of."""
+    if d is SparkDialect:
+        source = "(select vec_id, posexplode(embedding) as (pos, e) from {embeddings})"
+    else:
+        source = "(select vec_id, unnest(range(len(embedding))) as pos, unnest(embedding) as e from {embeddings})"
+    return f"(select vec_id, pos, cast(floor(abs(cast(e as double)) * 1e6) as bigint) as n from {source} c)"
+
+
+def hsv_pixels(d):
+    """One 8 by 8 crop per vector."""
+    return f"""
+select vec_id as crop_id, 'trk' || cast({d.idiv('vec_id', '4')} as string) as track_id, 8 as height, 8 as width,
+  {d.idiv('pos', '8')} as row_no, pos % 8 as col_no,
+  case when vec_id % 5 = 0 then 5 + n % 3 else n % 180 end as h,
+  case vec_id % 3 when 0 then n % 256 when 1 then n % 70 else 60 + n % 190 end as s,
+  case vec_id % 4 when 0 then n % 60 when 1 then 171 + n % 80 when 2 then n % 39 else n % 256 end as v
+from {_vector_cells(d)} p"""
+
+
+def gray_pixels(d):
+    """32 by 32 frames of sixteen vectors each, five frames to a scene."""
+    frame, idx = d.idiv("vec_id", "16"), "(vec_id % 16 * 64 + pos)"
+    return f"""
+select 'cam' || cast({d.idiv(frame, '5')} as string) as label, {frame} as frame_no,
+  {d.idiv(idx, '32')} as row_no, {idx} % 32 as col_no, n % 256 as v from {_vector_cells(d)} p"""
+
+
 # --- watchlist and alerts --------------------------------------------------------------------
 
 def watchlists(d):
@@ -261,7 +291,7 @@ from {part}"""
 def watchlist_views(d):
     return f"""
 select 'e' || cast(vec_no * 3 % 400 as string) as entry_id, embedding, embedding_model, track_id as source_track_id
-from {{signatures}} where vec_no % 9 = 2"""
+from {{signatures}} where colour = 'red'"""
 
 
 def alert_sightings(d):
@@ -303,8 +333,8 @@ select label, cast(row_number() over (order by k) as string) as portal_id, codec
   select s_name as label, s_suppkey as k,
     case when s_suppkey % 4 = 0 then 'hevc' when s_suppkey % 2 = 0 then 'h264' end as codec,
     case when s_suppkey % 6 = 1 then 1280 else 1920 end as width
-  from {supplier} where s_suppkey % 23 <> 7
-  union all select c_name, 1000000 + c_custkey, 'h264', 1920 from {customer} where c_custkey < 3) r"""
+  from {supplier} where s_acctbal > 0e0
+  union all select 'new ' || n_name, 1000000000 + n_nationkey, 'h264', 1920 from {nation}) r"""
 
 
 # --- measurements ---------------------------------------------------------------------------
@@ -416,7 +446,7 @@ DERIVED = {
     f.__name__: f
     for f in (
         cameras, departments, centroids, assignments, health, streams, tracks, index_signatures, detections,
-        bulk_detections, frames, plate_reads, signatures, crop_vectors, watchlists, watchlist_entries,
+        bulk_detections, frames, plate_reads, signatures, crop_vectors, hsv_pixels, gray_pixels, watchlists, watchlist_entries,
         watchlist_views, alert_sightings, alerts, roster_old, roster_new, time_sync, fingerprints, clock_reads,
         clip_chunks, geocode_candidates, rings, stream_log, publisher_state, users, camera_versions, snapshots,
     )
