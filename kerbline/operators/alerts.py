@@ -18,7 +18,7 @@ def alert_id(track: Column, entry: Column, order: Column) -> Column:
     return F.concat(F.lit("c"), F.substring(F.sha2(F.concat_ws("|", track, entry, own), 256), 1, 24))
 
 
-def fold_alerts(sightings: DataFrame, order: str = "seq") -> DataFrame:
+def fold_alerts(sightings: DataFrame, order: str = "seq", extra: list[Column] | None = None) -> DataFrame:
     """One alert per (track, entry): built on the first sighting, only ever raised by later ones.
 
     Confidence is the maximum; how it matched changes only on a strictly better sighting; last seen
@@ -34,7 +34,7 @@ def fold_alerts(sightings: DataFrame, order: str = "seq") -> DataFrame:
             F.min(order).alias("first_order"), *first, F.max("confidence").alias("confidence"),
             F.min_by("matched_via", better).alias("matched_via"), F.min_by("repaired", better).alias("repaired"),
             F.when(F.count("*") > 1, F.max_by("recorded_ms", order)).alias("last_seen_ms"),
-            F.count("*").alias("sightings"),
+            F.count("*").alias("sightings"), *(extra or []),
         )
         .withColumn("alert_id", alert_id(F.col("track_id"), F.col("entry_id"), F.col("first_order")))
         .drop("__solo")

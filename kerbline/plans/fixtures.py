@@ -472,7 +472,9 @@ class Tables:
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         refs = {ref: getattr(self, ref) for ref in set(_REF.findall(text)) if ref not in frames}
-        return self.spark.sql(text, **refs, **frames)
+        # Braces that are not references (JSON in the text) are literal.
+        literal = text.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(re.sub(r"\{\{([a-z_]+)\}\}", r"{\1}", literal), **refs, **frames)
 
 
 def duck(text: str) -> str:
