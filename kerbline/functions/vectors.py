@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kerbline.functions.binding import bind
+
 TINY_SQUARED_NORM = 1e-12
 
 
@@ -19,7 +21,7 @@ def squared_norm(a: Column) -> Column:
 def unit(a: Column, floor: float = 1e-6) -> Column:
     """Scale to length one; a vector shorter than ``floor`` is divided by the floor."""
     norm = F.greatest(F.sqrt(squared_norm(a)), F.lit(floor))
-    return F.transform(a, lambda x: x / norm)
+    return bind(norm, lambda n: F.transform(a, lambda x: x / n))
 
 
 def plain_cosine(a: Column, b: Column) -> Column:
@@ -30,6 +32,7 @@ def plain_cosine(a: Column, b: Column) -> Column:
 
 def guarded_cosine(a: Column, b: Column) -> Column:
     """0 for empty, unequal or near-zero vectors, so a track without crops matches nothing."""
-    na, nb = squared_norm(a), squared_norm(b)
-    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (na >= TINY_SQUARED_NORM) & (nb >= TINY_SQUARED_NORM)
-    return F.when(usable, dot(a, b) / (F.sqrt(na) * F.sqrt(nb))).otherwise(0.0)
+    norms = F.struct(squared_norm(a).alias("a"), squared_norm(b).alias("b"))
+    same = (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    usable = lambda n: same & (n["a"] >= TINY_SQUARED_NORM) & (n["b"] >= TINY_SQUARED_NORM)
+    return bind(norms, lambda n: F.when(usable(n), dot(a, b) / (F.sqrt(n["a"]) * F.sqrt(n["b"]))).otherwise(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.functions.plates import bind
+from kerbline.functions.binding import bind
 
 # Fixed values.
 WINDOW_S = 1800

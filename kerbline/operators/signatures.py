@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import vectors
+from kerbline.functions.binding import bind
 
 # Hue bands on the 0-179 scale, brightness and saturation limits, plate width.
 HUE_BANDS = [
@@ -74,10 +75,9 @@ def track_embeddings(crops: DataFrame, *, floor: float = TINY_NORM) -> DataFrame
     scaled = crops.withColumn("__v", array_to_vector(vectors.unit(F.col("embedding"), floor)))
     mean = scaled.groupBy("track_id").agg(
         vector_to_array(Summarizer.mean(F.col("__v"))).alias("__m"), F.count("*").alias("crops"))
-    return mean.withColumn("__n", F.sqrt(vectors.squared_norm(F.col("__m")))).select(
-        "track_id", "crops",
-        F.when(F.col("__n") > floor, F.transform("__m", lambda x: x / F.col("__n"))).otherwise(F.col("__m")).alias("embedding"),
-    )
+    length = F.sqrt(vectors.squared_norm(F.col("__m")))
+    scaled_again = bind(length, lambda n: F.transform("__m", lambda x: x / F.when(n > floor, n).otherwise(1.0)))
+    return mean.select("track_id", "crops", scaled_again.alias("embedding"))
 
 
 def plate_worth_reading(width_px: Column) -> Column:

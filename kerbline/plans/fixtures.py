@@ -39,9 +39,8 @@ class SparkDialect:
 
     @staticmethod
     def unit(v):
-        return (
-            f"transform({v}, x -> x / sqrt(aggregate({v}, 0D, (s, y) -> s + y * y)))"
-        )
+        norm = f"sqrt(aggregate({v}, 0D, (s, y) -> s + y * y))"
+        return f"get(transform(array({norm}), n -> transform({v}, x -> x / n)), 0)"
 
     empty_vector = "cast(array() as array<double>)"
 

@@ -126,6 +126,15 @@ def lookalikes(t):
                         F.col("r_camera_id").alias("camera_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("route_lookalikes_same_model", f"""
+with {LOCATED} select k.seed_id, k.track_id, round(k.sim, 6) as similarity from looks k join {{signatures}} a on a.track_id = k.seed_id
+join {{signatures}} b on b.track_id = k.track_id where a.embedding_model = b.embedding_model""")
+def lookalikes_same_model(t):
+    rows = located(t)
+    found = routes.lookalikes(rows, routes.candidate_signatures(rows, VECTOR_DIM), dim=VECTOR_DIM, same_model=True)
+    return found.select(F.col("l_id").alias("seed_id"), F.col("r_id").alias("track_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("route_reconstruction", f"""
 with recursive {LOCATED},
 offered as (select track_id as seed_id, track_id, camera_id, recorded_ms, lat, lng, null::double as sim, 0 as late from located

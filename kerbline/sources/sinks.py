@@ -22,8 +22,8 @@ def write_by_day(df: DataFrame, path: str, ms: str = "recorded_ms", order: str =
     """Index tables at rest: a folder per day, each sorted so row groups can be skipped by camera and time."""
     day = F.date_format(F.timestamp_millis(F.col(ms).cast("bigint")), "yyyy-MM-dd")
     dated = df.withColumn("day", day)
-    # Cameras spread a day over tasks, so a busy day is not one file written by one task.
-    spread = dated.repartition("day", F.pmod(F.xxhash64(order), F.lit(64)))
+    # Rebalancing splits a busy day over tasks and lets quiet days share one, by measured size.
+    spread = dated.hint("rebalance", "day")
     spread.sortWithinPartitions("day", order, ms).write.mode("append").partitionBy("day").parquet(path)
 
 
@@ -44,9 +44,9 @@ def current_signatures(log: DataFrame, order: str = "detected_at_ms") -> DataFra
 
 def current_alerts(log: DataFrame) -> DataFrame:
     """The alert table behind a log of alert states: the last state written per alert."""
-    newest = log.groupBy("track_id", "entry_id").agg(
-        F.max_by(F.struct(*[c for c in log.columns if c not in ("track_id", "entry_id")]), "batch_id").alias("s"))
-    return newest.select("track_id", "entry_id", "s.*")
+    newest = log.groupBy("alert_id").agg(
+        F.max_by(F.struct(*[c for c in log.columns if c != "alert_id"]), "batch_id").alias("s"))
+    return newest.select("alert_id", "s.*")
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
