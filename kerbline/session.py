@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import kerbline
+
 # Runtime settings only: they are safe to apply to a session somebody else built.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,6 +23,8 @@ BROADCAST_MAX_ROWS = 200_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings; ship this package's task code by value, so workers need not have it installed."""
+    cloudpickle.register_pickle_by_value(kerbline)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
