@@ -207,7 +207,8 @@ def matrix(t):
 
 RINGS = """
 e as (select *, lag(x) over w as px, lag(y) over w as py from {rings} window w as (partition by feature, ring_no order by pos)),
-m as (select feature, ring_no, sum(px * y - x * py) / 2 as a, sum((px + x) * (px * y - x * py)) as mx, sum((py + y) * (px * y - x * py)) as my,
+m as (select feature, ring_no, coalesce(sum(px * y - x * py), 0) / 2 as a, coalesce(sum((px + x) * (px * y - x * py)), 0) as mx,
+    coalesce(sum((py + y) * (px * y - x * py)), 0) as my,
     count(*) as points, min(x) as min_x, max(y) as max_y from e group by 1, 2)"""
 
 
