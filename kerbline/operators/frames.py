@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import clock
 from kerbline.operators.sequence import stitched
+from kerbline.session import cut_lineage
 
 # Fixed values.
 MAX_FORWARD_GAP_MS = 5_000
@@ -31,7 +32,8 @@ def mark_segments(
     """Add pts_jump, discontinuity, segment (0 for the first) and what the segment started with.
 
     Any of a PTS jump, a scene cut or a clock reading going backwards breaks the feed. The first
-    frame of a connection starts it; it does not break it.
+    frame of a connection starts it; it does not break it. The result is written once, to the
+    checkpoint folder, because anchoring, sampling and events all start from it.
     """
     chunk = F.floor(F.col("seq") / chunk_seq)
     seen = stitched(
@@ -44,6 +46,7 @@ def mark_segments(
     marked = seen.withColumns({
         "pts_jump": jump, "discontinuity": ~first & (jump | flag("scene_cut") | flag("clock_backwards")),
     }).withColumn("starts_segment", first | F.col("discontinuity"))
+    marked = cut_lineage(marked)
     starts = F.col("starts_segment")
     numbered = stitched(
         marked, keys=CONNECTION, order=["seq"], chunk=chunk,
@@ -52,9 +55,9 @@ def mark_segments(
         running_last={"__start": F.when(starts, F.struct("pts_ms", "arrival_ms"))},
     )
     start = F.when(starts, F.struct("pts_ms", "arrival_ms")).otherwise(F.col("__start"))
-    return numbered.withColumns({
+    return cut_lineage(numbered.withColumns({
         "segment_pts_ms": start["pts_ms"], "segment_arrival_ms": start["arrival_ms"],
-    }).drop("__start")
+    }).drop("__start"))
 
 
 def loop_events(segments: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def sample_on_grid(segments: DataFrame, interval_ms: float, *, chunk_seq: int =
     )
     opens = c("__leap") & (c("__last_leap").isNull() | (c("ordinal") - c("__last_leap") != 2))
     placed = stitched(
-        runs.withColumn("__opens", opens), keys=CONNECTION, order=["seq"], chunk=chunk,
+        cut_lineage(runs.withColumn("__opens", opens)), keys=CONNECTION, order=["seq"], chunk=chunk,
         running_last={"__run_start": F.when(c("__opens"), c("ordinal"))},
     )
     last_left_due = F.coalesce((c("__last_leap") - c("__run_start")) % 4 == 0, F.lit(False))

@@ -4,6 +4,10 @@ A plain window over a busy key sorts every row of that key in a single task. Her
 into chunks that follow the order (a span of time, a span of sequence numbers). Windows run inside a
 chunk; one small row per chunk carries what the next chunk needs (its last row, its sums, its
 minimum), and only those carries are windowed over the whole key.
+
+Rows are shuffled once per pass; carries are aggregated before they move. The input is read twice, by
+the windows and by the carries, so a pass built on another pass should start from a written result
+(``cut_lineage``): stacked lazily, each level would double the work below it.
 """
 
 from __future__ import annotations
@@ -42,8 +46,6 @@ def stitched(
     for i, e in enumerate(running_last.values()):
         base = base.withColumn(f"__l{i}", e)
 
-    # One shuffle, by key and chunk, that the carries and the windows below both reuse.
-    base = base.repartition(*keys, _CHUNK)
     position = F.struct(*[F.col(c) for c in order])
     carry_aggs = []
     if previous:

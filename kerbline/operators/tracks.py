@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.operators.sequence import stitched
+from kerbline.session import cut_lineage
 
 # Fixed values.
 VEHICLE_CLASSES = ["car", "motorcycle", "bus", "truck", "bicycle"]
@@ -22,11 +23,6 @@ def kept_detections(detections: DataFrame) -> DataFrame:
     return detections.where(F.col("cls").isin(KEPT_CLASSES))
 
 
-def with_segment(detections: DataFrame) -> DataFrame:
-    """Recordings without breaks are one segment."""
-    return detections if "segment" in detections.columns else detections.withColumn("segment", F.lit(0))
-
-
 def track_sessions(
     detections: DataFrame, frames: DataFrame | None = None, *, idle_ms: float = IDLE_CLOSE_MS, chunk_ms: int = CHUNK_MS
 ) -> DataFrame:
@@ -39,30 +35,32 @@ def track_sessions(
     Detections without a tracker id belong to no track.
     """
     c = F.col
-    dets = with_segment(detections)
+    # Recordings without breaks are one segment: a constant would only widen the keys.
+    segment = ["segment"] if "segment" in detections.columns else []
+    feed, tracker = ["camera_id", *segment], ["camera_id", *segment, "tracker_id"]
     if frames is None:
-        frames = dets.groupBy("camera_id", "segment", c("seq").alias("frame_seq")).agg(F.min("recorded_ms").alias("recorded_ms"))
+        frames = detections.groupBy(*feed, c("seq").alias("frame_seq")).agg(F.min("recorded_ms").alias("recorded_ms"))
     chunk = F.floor(c("recorded_ms") / chunk_ms)
     before = stitched(
-        frames, keys=["camera_id", "segment"], order=["recorded_ms", "frame_seq"], chunk=chunk,
-        previous={"prev_frame_ms": "recorded_ms"},
-    ).select("camera_id", "segment", c("frame_seq").alias("seq"), "prev_frame_ms")
-    tracked = dets.where(c("tracker_id").isNotNull()).join(before, ["camera_id", "segment", "seq"], "left")
+        frames, keys=feed, order=["recorded_ms", "frame_seq"], chunk=chunk, previous={"prev_frame_ms": "recorded_ms"},
+    ).select(*feed, c("frame_seq").alias("seq"), "prev_frame_ms")
+    tracked = cut_lineage(detections.where(c("tracker_id").isNotNull()).join(before, [*feed, "seq"], "left"))
     seen = stitched(
-        tracked, keys=TRACKER, order=["recorded_ms", "seq"], chunk=chunk,
+        tracked, keys=tracker, order=["recorded_ms", "seq"], chunk=chunk,
         previous={"prev_ms": "recorded_ms"}, running_sum={"__n": F.lit(1).cast("bigint")},
     )
     opens = c("prev_ms").isNull() | (c("prev_frame_ms") - c("prev_ms") > idle_ms)
-    marked = seen.withColumn("opens_track", F.coalesce(opens, F.lit(False)))
+    marked = cut_lineage(seen.withColumn("opens_track", F.coalesce(opens, F.lit(False))))
     first = F.when(c("opens_track"), F.struct("__n", "cls"))
     numbered = stitched(
-        marked, keys=TRACKER, order=["recorded_ms", "seq"], chunk=chunk,
+        marked, keys=tracker, order=["recorded_ms", "seq"], chunk=chunk,
         running_sum={"session": c("opens_track").cast("bigint")}, running_last={"__open": first},
     )
     opened = F.coalesce(F.when(c("opens_track"), F.struct("__n", "cls")), c("__open"))
-    return numbered.withColumns({
+    out = numbered.withColumns({
         "frame_no": c("__n") - opened["__n"] + 1, "track_cls": opened["cls"],
     }).drop("__n", "__open", "prev_frame_ms", "prev_ms")
+    return out if segment else out.withColumn("segment", F.lit(0))
 
 
 def track_id(camera, segment, tracker, session):
