@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions.binding import bind
+from kerbline.session import spread
 
 # Fixed values.
 WINDOW_S = 1800
@@ -42,9 +43,7 @@ def resolve_reads(reads: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
                  lambda r: (score_of(r) >= score_of(best) - RIVAL_MARGIN) & (F.abs(r["delta"] - best["delta"]) > RIVAL_AWAY_S)
                  ).alias("rivalled"),
     )))
-    # A row costs thousands of comparisons and weighs almost nothing: spread rows over every core.
-    even = reads.repartition(reads.sparkSession.sparkContext.defaultParallelism)
-    out = even.withColumn("__seen", seen).withColumn("__longest", longest).withColumn(
+    out = spread(reads).withColumn("__seen", seen).withColumn("__longest", longest).withColumn(
         "__j", F.when(F.length("__seen") >= MIN_DIGITS, judged))
     readable = F.coalesce(c("__j.score") >= MIN_SCORE, F.lit(False))
     return out.withColumns({

@@ -30,6 +30,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Put small rows that are dear to process on every core.
+
+    Adaptive execution sizes partitions by bytes and would leave such rows in one task; a stated number
+    of partitions is left alone.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only for an unset local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
