@@ -28,7 +28,7 @@ def resolve_reads(reads: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     """
     seen = F.regexp_replace("ocr_text", r"\D", "")
     c = F.col
-    # Half-hour steps do not matter here: the stamp is rendered in UTC from epoch milliseconds.
+    # Expected times are the overlay's own wall clock, so they are rendered without a zone shift (UTC).
     stamp = lambda delta: F.date_format(F.timestamp_millis(c("expected_ms") + delta * 1000), "ddMMyyyyHHmmss")
     candidates = F.transform(
         F.sequence(F.lit(-window_s), F.lit(window_s)),
