@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, checks, mixing, neardup, secrets, toxicity
+from kerbline.llm import bpe, checks, metric_topk, mixing, neardup, secrets, sharding, toxicity
 from kerbline.llm.common import table
 from kerbline.llm.registry import ORACLES, QUERIES, query
 
@@ -42,6 +42,18 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_histogram_shards")
+def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharded.select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_metric_topk", sql=checks.TOP_INNER_PRODUCTS)
+def op8_metric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_bpe_round_trip")
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
