@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, checks, metric_topk, mixing, neardup, secrets, sharding, toxicity
+from kerbline.llm import bpe, checks, metric_topk, mixing, neardup, quality, secrets, sharding, toxicity
 from kerbline.llm.common import table
 from kerbline.llm.registry import ORACLES, QUERIES, query
 
@@ -31,6 +31,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("__all")).alias("spans"))
 
 
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 @query("op5_source_mix")
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
