@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, checks, metric_topk, mixing, neardup, quality, secrets, sharding, toxicity
+from kerbline.llm import bpe, checks, language, licenses, metric_topk, mixing, neardup, quality, secrets, sharding, toxicity
 from kerbline.llm.common import table
 from kerbline.llm.registry import ORACLES, QUERIES, query
 
@@ -31,6 +31,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("__all")).alias("spans"))
 
 
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), into="m")
+    return found.select(
+        "doc_id", F.size("m").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct("m.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("m.coverage"), F.lit(0.0)).alias("best_coverage"),
+        F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",").alias("spans"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
