@@ -18,7 +18,8 @@ coordinates make a band; 40 bands give a pair with similarity 0.75 a chance of 2
 No bucket is capped, no group is gathered in one task, and nothing but counts reaches the driver.
 
 Null texts and texts without words have an empty set: size 0, linked with nothing, a component of their
-own. Rows that share an id are one node: what one of them is linked with, all are. Ties don't arise.
+own. Rows that share an id are one node: what one of them is linked with, all are. Rows without an id have
+no component, link nothing and are kept. Ties don't arise.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
                     rows.append((key, 0, None, None, None))
             yield pd.DataFrame(rows, columns=fields.names)
 
-    return docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, fields)
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, fields)
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
@@ -243,11 +244,11 @@ def _across(members: DataFrame, id_type: T.DataType, threshold: float) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row; rows without an id are left out."""
+    """(id, n_shingles, component_id, kept) for every row."""
     threshold = percent / 100
     sketches = stored(sketch(docs, id, text))
     reps = stored(
-        sketches.where(F.col("n") > 0).groupBy("digest").agg(F.min(F.struct(F.col("id"), F.col("n"), F.col("bands"), F.col("low"))).alias("r"))
+        sketches.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest").agg(F.min(F.struct(F.col("id"), F.col("n"), F.col("bands"), F.col("low"))).alias("r"))
         .select("digest", F.col("r.id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"), F.col("r.low").alias("low")))
     marks = reps.select("rep", "n", "low")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
@@ -274,8 +275,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
         labels = labels.join(joined, "label", "left").select("v", F.coalesce("next", "label").alias("label")).unionAll(alone)
     classes = reps.select("digest", F.col("rep").alias("v")).join(labels, "v", "left").select("digest", F.coalesce("label", "v").alias("label"))
     out = sketches.select("id", "n", "digest").join(classes, "digest", "left").select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id) == F.col("component_id"))
+        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
