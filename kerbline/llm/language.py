@@ -80,7 +80,7 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", id:
 
 
 def host_of(url: Column) -> Column:
-    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]*)", 1)
     return F.regexp_replace(host, r"\.+$", "")
 
 

@@ -158,25 +158,26 @@ def components(links: DataFrame) -> DataFrame:
     """(v, label): for every end of a link, the smallest id reachable.
 
     Each round maps a vertex to its least neighbour or itself and that one's least in turn, then replaces
-    the ends of the links. Links within one vertex go, so a group shrinks by a factor in every round.
+    the ends of the links. Links within one vertex go, so a group shrinks by a factor in every round. Rounds
+    start from written tables, whose plans carry nothing over from earlier rounds.
     """
-    edges = cut_lineage(links.where(F.col("a") != F.col("b")).distinct())
+    edges = stored(links.where(F.col("a") != F.col("b")).distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p"))
-        parent = cut_lineage(parent)
+        parent = stored(parent)
         for _ in range(2):
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p").select("v", F.col("pp").alias("p"))
-        parent = cut_lineage(parent)
+        parent = stored(parent)
         if labels is None:
             labels = parent.withColumnRenamed("p", "label")
         else:
             step = parent.select(F.col("v").alias("label"), F.col("p").alias("next"))
-            labels = cut_lineage(labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label")))
+            labels = stored(labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label")))
         pa, pb = parent.withColumnsRenamed({"v": "a", "p": "x"}), parent.withColumnsRenamed({"v": "b", "p": "y"})
-        edges = cut_lineage(edges.join(pa, "a").join(pb, "b").where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = stored(edges.join(pa, "a").join(pb, "b").where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     if labels is None:
         labels = edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
     return labels
