@@ -155,11 +155,11 @@ def resolve_suggestions(suggestions: DataFrame, cameras: DataFrame, departments:
 def roster_digest(rosters: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """A digest per roster that changes if any row changes and ignores row order.
 
-    Rows are hashed, row hashes are hashed in up to 4096 label buckets, and buckets into one digest,
-    so no step gathers a whole roster.
+    A row is hashed as JSON, keys sorted and nulls kept, so no two different rows read the same. Row hashes
+    are hashed in up to 4096 label buckets, and buckets into one digest, so no step gathers a whole roster.
     """
     fields = sorted(c for c in rosters.columns if c not in keys)
-    text = F.concat_ws("|", *[F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("null"))) for f in fields])
+    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     rows = rosters.select(*keys, F.substring(F.sha2(F.col(label), 256), 1, 3).alias("__bucket"), F.sha2(text, 256).alias("__row"))
     combine = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
     buckets = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"), combine("__row").alias("__digest"))

@@ -118,14 +118,24 @@ def candidates(t):
         "track_id", "camera_id", "camera_label", "cls", "recorded_ms", "frame_count", "position_approximate")
 
 
-@query("route_lookalikes", f"with {LOCATED} select seed_id, track_id, camera_id, round(sim, 6) as similarity from looks")
-def lookalikes(t):
+LOOKALIKES_SQL = f"with {LOCATED} select seed_id, track_id, camera_id, round(sim, 6) as similarity from looks"
+#: Small enough for several cells and several blocks in each, on the smallest tables too.
+FEW_ROWS = 25
+
+
+@query("route_lookalikes", LOOKALIKES_SQL)
+def lookalikes(t, **options):
     rows = located(t)
-    found = routes.lookalikes(rows, routes.candidate_signatures(rows, VECTOR_DIM), dim=VECTOR_DIM)
+    found = routes.lookalikes(rows, routes.candidate_signatures(rows, VECTOR_DIM), dim=VECTOR_DIM, **options)
     return found.select(F.col("l_id").alias("seed_id"), F.col("r_id").alias("track_id"),
                         F.col("r_camera_id").alias("camera_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("route_lookalikes_blocks", LOOKALIKES_SQL)
+def lookalikes_blocks(t):
+    return lookalikes(t, block_rows=FEW_ROWS)
+
+
 @query("route_lookalikes_same_model", f"""
 with {LOCATED} select k.seed_id, k.track_id, round(k.sim, 6) as similarity from looks k join {{signatures}} a on a.track_id = k.seed_id
 join {{signatures}} b on b.track_id = k.track_id where a.embedding_model = b.embedding_model""")
@@ -166,23 +176,32 @@ def route_reconstruction(t):
         "seed_id", "rejected", "unverifiable", "step", "track_id", "similarity", "leg_km", "leg_speed_kmh", "leg_verifiable")
 
 
-@query("camera_match_matrix", """
+MATRIX_SQL = """
 select least(a.camera_id, b.camera_id) as camera_a, greatest(a.camera_id, b.camera_id) as camera_b, count(*) as pairs,
   round(min(12742 * asin(sqrt(pow(sin(radians(d.lat - c.lat) / 2), 2)
       + cos(radians(c.lat)) * cos(radians(d.lat)) * pow(sin(radians(d.lng - c.lng) / 2), 2)))), 3) as separation_km
 from {signatures} a join {signatures} b on a.track_id < b.track_id and a.cls = b.cls and a.camera_id <> b.camera_id
 join {cameras} c on c.camera_id = a.camera_id join {cameras} d on d.camera_id = b.camera_id
-where list_dot_product(a.embedding, b.embedding) >= 0.82 group by 1, 2""")
-def match_matrix(t):
+where list_dot_product(a.embedding, b.embedding) >= 0.82 group by 1, 2"""
+
+
+@query("camera_match_matrix", MATRIX_SQL)
+def match_matrix(t, **options):
     from kerbline.functions.geo import haversine_km
 
-    counted = similarity.camera_match_matrix(t.signatures, dim=VECTOR_DIM, threshold=routes.APPEARANCE_THRESHOLD)
+    counted = similarity.camera_match_matrix(t.signatures, dim=VECTOR_DIM, threshold=routes.APPEARANCE_THRESHOLD, **options)
     at = lambda p: t.cameras.select(F.col("camera_id").alias(f"camera_{p}"), F.col("lat").alias(f"{p}_lat"), F.col("lng").alias(f"{p}_lng"))
     km = haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
     return counted.join(at("a"), "camera_a").join(at("b"), "camera_b").select(
         "camera_a", "camera_b", "pairs", F.round(km, 3).alias("separation_km"))
 
 
+@query("camera_match_matrix_blocks", MATRIX_SQL)
+def match_matrix_blocks(t):
+    return match_matrix(t, block_rows=FEW_ROWS)
+
+
+
 NEAR_SQL = """select a.camera_id, b.camera_id as near_id, 12742 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
       + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) * 1000 as d
   from {cameras} a join {cameras} b on a.camera_id <> b.camera_id where a.lat is not null and b.lat is not null"""

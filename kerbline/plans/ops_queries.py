@@ -119,10 +119,9 @@ def suggestions(t):
 
 
 @query("roster_digest", """
-with r as (select 'old' as endpoint, label, 'codec=' || coalesce(codec, 'null') || '|label=' || label || '|portal_id=' || portal_id
-    || '|width=' || cast(width as varchar) as x from {roster_old}
-  union all select 'new', label, 'codec=' || coalesce(codec, 'null') || '|label=' || label || '|portal_id=' || portal_id
-    || '|width=' || cast(width as varchar) from {roster_new}),
+with r as (select endpoint, label, '{"codec":' || coalesce(to_json(codec)::varchar, 'null') || ',"label":' || to_json(label)::varchar
+    || ',"portal_id":' || to_json(portal_id)::varchar || ',"width":' || coalesce(cast(width as varchar), 'null') || '}' as x
+  from (select 'old' as endpoint, label, codec, portal_id, width from {roster_old} union all select 'new', label, codec, portal_id, width from {roster_new}) u),
 b as (select endpoint, substr(sha256(label), 1, 3) as k, count(*) as n, sha256(array_to_string(list_sort(list(sha256(x))), ',')) as h from r group by 1, 2)
 select endpoint, cast(sum(n) as bigint) as camera_count, sha256(array_to_string(list_sort(list(h)), ',')) as digest from b group by 1""")
 def digest(t):

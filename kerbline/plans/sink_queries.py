@@ -35,8 +35,8 @@ def detection_keys(t):
 
 
 @query("sink_roster_snapshots", """
-with r as (select 'old' as endpoint, label, 'codec=' || coalesce(codec, 'null') || '|label=' || label as x from {roster_old}
-  union all select 'new', label, 'codec=' || coalesce(codec, 'null') || '|label=' || label from {roster_new}),
+with r as (select endpoint, label, '{"codec":' || coalesce(to_json(codec)::varchar, 'null') || ',"label":' || to_json(label)::varchar || '}' as x
+  from (select 'old' as endpoint, label, codec from {roster_old} union all select 'new', label, codec from {roster_new}) u),
 b as (select endpoint, substr(sha256(label), 1, 3) as k, count(*) as n, sha256(array_to_string(list_sort(list(sha256(x))), ',')) as h from r group by 1, 2),
 d as (select endpoint, cast(sum(n) as bigint) as camera_count, sha256(array_to_string(list_sort(list(h)), ',')) as digest from b group by 1)
 select endpoint, nth as fetched_at_ms, camera_count, digest, false as roster_changed_again from d, (select unnest([1::bigint, 2::bigint]) as nth) x""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,6 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-#: A side is broadcast by hint only when its measured row count is at most this.
-BROADCAST_MAX_ROWS = 200_000
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings; ship this package's task code by value, so workers need not have it installed."""
@@ -57,3 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back.
+
+    For inputs that several steps read: they are computed once, and only the columns a step needs are
+    read again. Unlike a checkpoint, the plan that reads them carries nothing over from the one before.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kerbline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -30,13 +30,19 @@ def brute(rows, threshold, same_cls=True):
             if i != j and rows[i][1] != rows[j][1] and (not same_cls or rows[i][2] == rows[j][2]) and sims[i, j] >= threshold}
 
 
-@pytest.mark.parametrize("small, block", [(10**9, 8192), (0, 8192), (0, 40), (0, 9)])
-def test_every_route_to_the_pairs_gives_all_of_them(spark, small, block):
+def computed(df):
+    """The same rows, with a vector that an expression makes."""
+    return df.withColumn("embedding", F.transform(F.reverse("embedding"), lambda x: x * F.lit(1.0))).withColumn("embedding", F.reverse("embedding"))
+
+
+@pytest.mark.parametrize("block", [8192, 40, 9])
+@pytest.mark.parametrize("made", [lambda df: df, computed])
+def test_every_route_to_the_pairs_gives_all_of_them(spark, made, block):
     rows = cloud(240, copies=80)  # a third of the rows are copies of one vector
-    df = frame(spark, rows)
+    df = made(frame(spark, rows))
     got = similarity.similar_pairs(
         Side(df, "track_id", carry=("camera_id",)), Side(df, "track_id", carry=("camera_id",)), dim=DIM, threshold=0.82,
-        match_on=["cls"], differ=("camera_id", "camera_id"), block_rows=block, small_side_values=small)
+        match_on=["cls"], differ=("camera_id", "camera_id"), block_rows=block)
     found = {(r.l_id, r.r_id): r.similarity for r in got.collect()}
     want = brute(rows, 0.82)
     assert found.keys() == want.keys() and len(want) > 1000
@@ -63,14 +69,24 @@ def test_vectors_that_are_not_unit_length(spark):
     norm = np.maximum(np.linalg.norm(m, axis=1), 1e-12)
     for guarded, sims in ((False, m @ m.T), (True, (m @ m.T) / norm[:, None] / norm[None, :])):
         want = {(full[i][0], full[j][0]) for i in range(len(full)) for j in range(len(full)) if i != j and sims[i, j] >= 0.5}
-        for small in (10**9, 0):
+        for block in (8192, 10):
             got = similarity.similar_pairs(Side(df, "track_id"), Side(df, "track_id"), dim=DIM, threshold=0.5, match_on=["cls"],
-                                           guarded=guarded, block_rows=10, small_side_values=small)
+                                           guarded=guarded, block_rows=block)
             assert {(r.l_id, r.r_id) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("small, block", [(10**9, 8192), (0, 20)])
-def test_match_matrix_counts_copies(spark, small, block):
+@pytest.mark.parametrize("block", [8192, 30, 7])
+def test_a_table_with_itself_gives_each_pair_once(spark, block):
+    rows = cloud(200, copies=60)
+    side = Side(computed(frame(spark, rows)), "track_id", carry=("camera_id",))
+    got = similarity.similar_pairs(side, side, dim=DIM, threshold=0.82, match_on=["cls"], differ=("camera_id", "camera_id"), symmetric=True, block_rows=block)
+    found = [(r.l_id, r.r_id) for r in got.collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {k for k in brute(rows, 0.82) if k[0] < k[1]}
+
+
+@pytest.mark.parametrize("block", [8192, 20])
+def test_match_matrix_counts_copies(spark, block):
     rows = cloud(150, copies=50)
     want = {}
     for (a, b) in brute(rows, 0.82):
@@ -78,7 +94,7 @@ def test_match_matrix_counts_copies(spark, small, block):
             ca, cb = (f"cam{int(x[1:]) % 7}" for x in (a, b))
             key = (min(ca, cb), max(ca, cb))
             want[key] = want.get(key, 0) + 1
-    got = similarity.camera_match_matrix(frame(spark, rows), dim=DIM, threshold=0.82, block_rows=block, small_side_values=small)
+    got = similarity.camera_match_matrix(computed(frame(spark, rows)), dim=DIM, threshold=0.82, block_rows=block)
     assert {(r.camera_a, r.camera_b): r.pairs for r in got.collect()} == want
 
 
