@@ -2,12 +2,13 @@
 
 A plain window over a busy key sorts every row of that key in a single task. Here each key is cut
 into chunks that follow the order (a span of time, a span of sequence numbers). Windows run inside a
-chunk; one small row per chunk carries what the next chunk needs (its last row, its sums, its
-minimum), and only those carries are windowed over the whole key.
+chunk. One small row per chunk carries what the chunk needs from all before it (the last row, the sums,
+the minimum); only these rows are windowed over the whole key. They are then united with the rows, as the
+first row of their chunk, so the same window picks their values up: no join, and rows are shuffled once.
 
-Rows are shuffled once per pass; carries are aggregated before they move. The input is read twice, by
-the windows and by the carries, so a pass built on another pass should start from a written result
-(``cut_lineage``): stacked lazily, each level would double the work below it.
+The input is read twice, by the windows and by the carries, which are aggregated before they move. So a
+pass built on another pass should start from a written result (``cut_lineage``): stacked lazily, each
+level would double the work below it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "__chunk"
+_MARK = "__mark"
 
 
 def stitched(
@@ -64,43 +66,34 @@ def stitched(
     carried += [F.sum(f"__cs{i}").over(before).alias(f"__ps{i}") for i in range(len(running_sum))]
     carried += [F.min(f"__cm{i}").over(before).alias(f"__pm{i}") for i in range(len(running_min))]
     carried += [F.last(f"__cl{i}", ignorenulls=True).over(before).alias(f"__pl{i}") for i in range(len(running_last))]
-    ckeys = [f"__k{i}" for i in range(len(keys))]
-    carries = (
-        base.groupBy(*keys, _CHUNK).agg(*carry_aggs)
-        .select(*[F.col(k).alias(ck) for k, ck in zip(keys, ckeys)], F.col(_CHUNK).alias("__kchunk"), *carried)
+    # A chunk's first row holds, in the very columns the windows read, what stands before the chunk.
+    before_chunk = base.groupBy(*keys, _CHUNK).agg(*carry_aggs).select(*keys, _CHUNK, *carried)
+    # A column that is both a key or the order and a source of ``previous`` goes by a name of its own.
+    sources = {col: f"__v{i}" for i, col in enumerate(dict.fromkeys(previous.values()))}
+    rows = base.withColumns({name: F.col(col) for col, name in sources.items()}).withColumn(_MARK, F.lit(1))
+    marks = before_chunk.select(
+        *keys, _CHUNK, F.lit(0).alias(_MARK), *[F.col("__ptail").getField(col).alias(name) for col, name in sources.items()],
+        *[F.col(f"__ps{i}").alias(f"__s{i}") for i in range(len(running_sum))],
+        *[F.col(f"__pm{i}").alias(f"__m{i}") for i in range(len(running_min))],
+        *[F.col(f"__pl{i}").alias(f"__l{i}") for i in range(len(running_last))],
     )
+    together = rows.unionByName(marks, allowMissingColumns=True)
 
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(_MARK, *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local: dict[str, Column] = {"__first": F.row_number().over(inside) == 1} if previous else {}
+    found: dict[str, Column] = {}
     for out, col in previous.items():
-        local[f"__o_{out}"] = F.lag(col).over(inside)
+        found[f"__o_{out}"] = F.lag(sources[col]).over(inside)
     for i, out in enumerate(running_sum):
-        local[f"__o_{out}"] = F.sum(f"__s{i}").over(upto)
+        found[f"__o_{out}"] = F.coalesce(F.sum(f"__s{i}").over(upto), F.lit(0))
     for i, out in enumerate(running_min):
-        local[f"__o_{out}"] = F.min(f"__m{i}").over(upto)
+        found[f"__o_{out}"] = F.min(f"__m{i}").over(upto)
     for i, out in enumerate(running_last):
-        local[f"__o_{out}"] = F.last(f"__l{i}", ignorenulls=True).over(earlier)
-    windowed = base.withColumns(local)
-
-    same = F.col(_CHUNK).eqNullSafe(F.col("__kchunk"))
-    for k, ck in zip(keys, ckeys):
-        same = same & F.col(k).eqNullSafe(F.col(ck))
-    joined = windowed.join(carries, same, "left")
-
-    final = [F.col(c) for c in df.columns]
-    for out, col in previous.items():
-        final.append(
-            F.when(F.col("__first"), F.col("__ptail").getField(col)).otherwise(F.col(f"__o_{out}")).alias(out)
-        )
-    for i, out in enumerate(running_sum):
-        final.append((F.coalesce(F.col(f"__ps{i}"), F.lit(0)) + F.coalesce(F.col(f"__o_{out}"), F.lit(0))).alias(out))
-    for i, out in enumerate(running_min):
-        final.append(F.least(F.col(f"__pm{i}"), F.col(f"__o_{out}")).alias(out))
-    for i, out in enumerate(running_last):
-        final.append(F.coalesce(F.col(f"__o_{out}"), F.col(f"__pl{i}")).alias(out))
-    return joined.select(*final)
+        found[f"__o_{out}"] = F.last(f"__l{i}", ignorenulls=True).over(earlier)
+    outs = [*previous, *running_sum, *running_min, *running_last]
+    return together.withColumns(found).where(F.col(_MARK) == 1).select(
+        *[F.col(c) for c in df.columns if c not in outs], *[F.col(f"__o_{out}").alias(out) for out in outs])
 
 
 def global_row_number(df: DataFrame, *, order: list[str], chunk: Column, out: str, keys: list[str] | None = None) -> DataFrame:
