@@ -20,16 +20,21 @@ DISTRICT_ALIASES = {
     "Mahisagar": ["Panch Mahals"], "Aravalli": ["Sabar Kantha"],
 }
 CHUNK_POINTS = 50_000
-RING = ["feature", "ring_no"]
+#: What tells rings apart, as far as a table has it: rings are numbered within their polygon.
+RING = ("feature", "polygon_no", "ring_no")
+
+
+def _ring_key(rings: DataFrame) -> list[str]:
+    return [c for c in RING if c in rings.columns]
 
 
 def ring_measures(vertices: DataFrame) -> DataFrame:
     """Per ring: signed area, first moments, bounds and number of points, from one pass over its edges."""
-    c = F.col
-    edges = stitched(vertices, keys=RING, order=["pos"], chunk=F.floor(c("pos") / CHUNK_POINTS), previous={"px": "x", "py": "y"})
+    c, key = F.col, _ring_key(vertices)
+    edges = stitched(vertices, keys=key, order=["pos"], chunk=F.floor(c("pos") / CHUNK_POINTS), previous={"px": "x", "py": "y"})
     cross = c("px") * c("y") - c("x") * c("py")
     some = lambda e: F.coalesce(F.sum(e), F.lit(0.0))
-    return edges.groupBy(*RING).agg(
+    return edges.groupBy(*key).agg(
         (some(cross) / 2).alias("signed_area"), some((c("px") + c("x")) * cross).alias("mx"), some((c("py") + c("y")) * cross).alias("my"),
         F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.count("*").alias("points"),
         F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
@@ -38,7 +43,7 @@ def ring_measures(vertices: DataFrame) -> DataFrame:
 def feature_centroids(measures: DataFrame) -> DataFrame:
     """The centroid of each feature's largest ring: small islands must not drag it out to sea."""
     largest = measures.groupBy("feature").agg(F.max_by(
-        F.struct("signed_area", "mx", "my", "mean_x", "mean_y"), F.struct(F.abs("signed_area"), -F.col("ring_no"))).alias("r"))
+        F.struct("signed_area", "mx", "my", "mean_x", "mean_y"), F.struct(F.abs("signed_area"), *[-F.col(c) for c in _ring_key(measures)[1:]])).alias("r"))
     flat = F.col("r.signed_area") == 0
     return largest.select(
         F.col("feature").alias("name"),
@@ -80,37 +85,37 @@ def simplify_rings(vertices: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -
     merges before the shuffle; a stretch is split there or finished. The longest ring is spread over
     the cluster like any other rows. Rounds are as many as the deepest split, not the vertices.
     """
-    c = F.col
-    ends = vertices.groupBy(*RING).agg(F.min_by(F.struct("pos", "x", "y"), "pos").alias("a"), F.max_by(F.struct("pos", "x", "y"), "pos").alias("b"))
-    corner = lambda e: ends.select(*RING, c(f"{e}.pos").alias("pos"), c(f"{e}.x").alias("x"), c(f"{e}.y").alias("y"))
-    kept = corner("a").unionByName(corner("b").join(ends.where("a.pos < b.pos").select(*RING), RING, "left_semi"))
-    open_ = vertices.join(ends, RING).where((c("pos") > c("a.pos")) & (c("pos") < c("b.pos"))).select(*RING, "pos", "x", "y", "a", "b")
+    c, key = F.col, _ring_key(vertices)
+    ends = vertices.groupBy(*key).agg(F.min_by(F.struct("pos", "x", "y"), "pos").alias("a"), F.max_by(F.struct("pos", "x", "y"), "pos").alias("b"))
+    corner = lambda e: ends.select(*key, c(f"{e}.pos").alias("pos"), c(f"{e}.x").alias("x"), c(f"{e}.y").alias("y"))
+    kept = corner("a").unionByName(corner("b").join(ends.where("a.pos < b.pos").select(*key), key, "left_semi"))
+    open_ = vertices.join(ends, key).where((c("pos") > c("a.pos")) & (c("pos") < c("b.pos"))).select(*key, "pos", "x", "y", "a", "b")
     open_ = cut_lineage(open_)
     while not open_.isEmpty():
         far = _to_segment(c("x"), c("y"), c("a.x"), c("a.y"), c("b.x"), c("b.y"))
-        splits = open_.groupBy(*RING, c("a.pos").alias("at")).agg(
+        splits = open_.groupBy(*key, c("a.pos").alias("at")).agg(
             F.max_by(F.struct("pos", "x", "y"), F.struct(far, -c("pos"))).alias("m"), F.max(far).alias("far")
         ).where(c("far") > tolerance).drop("far")
         splits = cut_lineage(splits)
-        kept = kept.unionByName(splits.select(*RING, "m.pos", "m.x", "m.y"))
-        halves = open_.withColumn("at", c("a.pos")).join(splits, [*RING, "at"]).where(c("pos") != c("m.pos"))
+        kept = kept.unionByName(splits.select(*key, "m.pos", "m.x", "m.y"))
+        halves = open_.withColumn("at", c("a.pos")).join(splits, [*key, "at"]).where(c("pos") != c("m.pos"))
         open_ = cut_lineage(halves.select(
-            *RING, "pos", "x", "y", F.when(c("pos") < c("m.pos"), c("a")).otherwise(c("m")).alias("a"),
+            *key, "pos", "x", "y", F.when(c("pos") < c("m.pos"), c("a")).otherwise(c("m")).alias("a"),
             F.when(c("pos") < c("m.pos"), c("m")).otherwise(c("b")).alias("b")))
     return kept
 
 
 def round_rings(vertices: DataFrame, precision: int = COORD_PRECISION, min_points: int = MIN_RING_POINTS) -> DataFrame:
     """Round, drop repeats next to each other, close each ring, drop rings too short to enclose anything."""
-    c = F.col
+    c, key = F.col, _ring_key(vertices)
     rounded = vertices.withColumns({"x": F.bround("x", precision), "y": F.bround("y", precision)})
     chunk = F.floor(c("pos") / CHUNK_POINTS)
-    compared = stitched(rounded, keys=RING, order=["pos"], chunk=chunk, previous={"px": "x", "py": "y"})
+    compared = stitched(rounded, keys=key, order=["pos"], chunk=chunk, previous={"px": "x", "py": "y"})
     distinct = compared.where(c("px").isNull() | (c("x") != c("px")) | (c("y") != c("py"))).drop("px", "py")
-    ring = distinct.groupBy(*RING).agg(
+    ring = distinct.groupBy(*key).agg(
         F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "pos").alias("first"), F.max_by(F.struct("x", "y"), "pos").alias("last"),
         F.max("pos").alias("end"))
     opened = (c("n") > 2) & (c("first") != c("last"))
     sized = ring.withColumn("total", c("n") + opened.cast("int")).where(c("total") >= min_points)
-    closing = sized.where(opened).select(*RING, (c("end") + 1).alias("pos"), "first.x", "first.y")
-    return distinct.join(sized.select(*RING), RING, "left_semi").select(*RING, "pos", "x", "y").unionByName(closing)
+    closing = sized.where(opened).select(*key, (c("end") + 1).alias("pos"), "first.x", "first.y")
+    return distinct.join(sized.select(*key), key, "left_semi").select(*key, "pos", "x", "y").unionByName(closing)

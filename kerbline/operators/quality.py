@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,58 +13,76 @@ from kerbline.functions import vectors
 from kerbline.operators.pairs import BLOCK_ROWS, compare_within
 from kerbline.operators.sequence import ranked_values, stitched
 from kerbline.operators.signatures import MIN_PLATE_WIDTH_PX, PLATE_SHARE_OF_WIDTH, track_embeddings
+from kerbline.session import written
 
 MIN_CROPS = 4
-BIN_DECIMALS = 3
+BINS = 20_000
+RESOLUTION = 1e-11
 CHUNK_ROWS = 10_000
 
 
-def _similarity_counts(rows: DataFrame, keys: list[str], id: str, kind: str, block_rows: int) -> DataFrame:
-    scale = 10 ** BIN_DECIMALS
+def _counts_between(rows: DataFrame, keys: list[str], id: str, block_rows: int, lo: float, hi: float) -> pd.DataFrame:
+    """Pairs per stretch of [lo, hi), at most ``BINS`` and one for all below; counted in tasks."""
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
         x = np.stack(a["embedding"].to_numpy())
         y = x if b is None else np.stack(b["embedding"].to_numpy())
-        counts = np.zeros(2 * scale + 1, dtype="int64")
+        counts = np.zeros(BINS + 2, dtype="int64")
         for start in range(0, len(x), 1024):
             part = x[start:start + 1024] @ y.T
-            bins = np.clip(np.floor(part * scale + 0.5), -scale, scale).astype("int64") + scale
+            bins = np.clip(np.floor((part - lo) / (hi - lo) * BINS), -1, BINS).astype("int64") + 1
             if b is None:
                 bins = bins[np.arange(len(y))[None, :] > np.arange(start, start + len(part))[:, None]]
-            counts += np.bincount(bins.ravel(), minlength=2 * scale + 1)
+            counts += np.bincount(bins.ravel(), minlength=BINS + 2)
         at = np.nonzero(counts)[0]
-        return pd.DataFrame({"kind": kind, "bin": at - scale, "pairs": counts[at]})
+        return pd.DataFrame({"bin": at - 1, "pairs": counts[at]})
+
+    found = compare_within(rows, keys=keys, id=id, kernel=kernel, schema="bin bigint, pairs bigint", block_rows=block_rows)
+    return found.groupBy("bin").agg(F.sum("pairs").alias("pairs")).orderBy("bin").toPandas()
+
+
+def _median_similarity(rows: DataFrame, keys: list[str], id: str, block_rows: int) -> tuple[int, float | None]:
+    """How many pairs, and the median of their similarities: the stretch that holds it is cut again and again."""
+    unit = written(rows.withColumn("embedding", vectors.unit(F.col("embedding"))))
+
+    def ranked(rank: int, counts: pd.DataFrame, lo: float, hi: float) -> float:
+        while hi - lo > RESOLUTION:
+            upto = counts["pairs"].cumsum().to_numpy()
+            at = int(counts["bin"].iat[int(np.searchsorted(upto, rank, side="right"))])
+            step = (hi - lo) / BINS
+            lo, hi = lo + at * step, lo + (at + 1) * step
+            if hi - lo > RESOLUTION:
+                counts = again(lo, hi)
+        return (lo + hi) / 2
+
+    @functools.cache
+    def again(lo: float, hi: float) -> pd.DataFrame:
+        return _counts_between(unit, keys, id, block_rows, lo, hi)
 
-    unit = rows.withColumn("embedding", vectors.unit(F.col("embedding")))
-    return compare_within(unit, keys=keys, id=id, kernel=kernel, schema="kind string, bin bigint, pairs bigint",
-                          block_rows=block_rows)
+    lo, hi = -1.0 - 1e-6, 1.0 + 1e-6
+    first = again(lo, hi)
+    n = int(first["pairs"].sum())
+    if not n:
+        return 0, None
+    return n, (ranked((n - 1) // 2, first, lo, hi) + ranked(n // 2, first, lo, hi)) / 2
 
 
 def reid_separation(crops: DataFrame, *, min_crops: int = MIN_CROPS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Median similarity of crops of one vehicle, of different vehicles' mean vectors, and the gap.
 
-    Only vehicles with enough crops count. Similarities are counted to three decimals in each task, so
-    medians come from counts, whatever the number of pairs.
+    Only vehicles with enough crops count. Similarities are counted per stretch in each task, and the
+    stretch that holds a median is cut again until it is narrower than ``RESOLUTION``; pairs never leave a
+    task, and what the driver sees is one count per stretch. Every two vehicles are compared: the work is
+    quadratic in vehicles, as the measure demands.
     """
     sizes = crops.groupBy("track_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_crops)
     enough = crops.join(sizes.drop("__n"), "track_id", "left_semi")
-    same = _similarity_counts(enough, ["track_id"], "crop_no", "same", block_rows)
-    means = track_embeddings(enough).withColumn("__all", F.lit(0))
-    different = _similarity_counts(means, ["__all"], "track_id", "different", block_rows)
-    counts = same.unionByName(different).groupBy("kind", "bin").agg(F.sum("pairs").alias("pairs"))
-    # At most 2001 bins per kind, so a window per kind is small by construction.
-    upto = Window.partitionBy("kind").orderBy("bin")
-    total = Window.partitionBy("kind")
-    ranked = counts.withColumns({"upto": F.sum("pairs").over(upto), "total": F.sum("pairs").over(total)})
-    at = lambda r: F.max(F.when((F.col("upto") - F.col("pairs") <= r) & (r < F.col("upto")), F.col("bin")))
-    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    medians = ranked.groupBy("kind").agg(
-        F.max("total").alias("pairs"), ((at(lo) + at(hi)) / 2.0 / 10 ** BIN_DECIMALS).alias("median"))
-    pick = lambda kind, col: F.max(F.when(F.col("kind") == kind, F.col(col)))
-    return medians.agg(
-        pick("same", "pairs").alias("same_pairs"), pick("same", "median").alias("same_median"),
-        pick("different", "pairs").alias("different_pairs"), pick("different", "median").alias("different_median"),
-    ).withColumn("gap", F.col("same_median") - F.col("different_median"))
+    same = _median_similarity(enough, ["track_id"], "crop_no", block_rows)
+    different = _median_similarity(track_embeddings(enough).withColumn("__all", F.lit(0)), ["__all"], "track_id", block_rows)
+    gap = same[1] - different[1] if same[0] and different[0] else None
+    return crops.sparkSession.createDataFrame(
+        [(same[0], same[1], different[0], different[1], gap)],
+        "same_pairs bigint, same_median double, different_pairs bigint, different_median double, gap double")
 
 
 def plate_legibility(detections: DataFrame, width: str = "width_px") -> DataFrame:

@@ -101,13 +101,20 @@ def co_sighting_counts(
 
 
 def _sliding(at: DataFrame, tolerance_ms: int, chunk_ms: int) -> DataFrame:
-    home = F.floor(F.col("recorded_ms") / chunk_ms)
-    low, high = (F.floor((F.col("recorded_ms") + d) / chunk_ms) for d in (-tolerance_ms, tolerance_ms))
-    spread = at.withColumn("__home", home).withColumn("__chunk", F.explode(F.sequence(low, high)))
-    everyone = Window.partitionBy("__chunk").orderBy("recorded_ms").rangeBetween(-tolerance_ms, tolerance_ms)
-    mine = Window.partitionBy("__chunk", "camera_id").orderBy("recorded_ms").rangeBetween(-tolerance_ms, tolerance_ms)
-    return (
-        spread.withColumn("elsewhere", F.sum("here").over(everyone) - F.sum("here").over(mine))
-        .where(F.col("__chunk") == F.col("__home"))
-        .select("camera_id", "recorded_ms", "here", "elsewhere")
-    )
+    """Sightings on other cameras within the tolerance: those of all cameras minus the camera's own.
+
+    All cameras are summed per millisecond before anything slides over them, so no task holds more than
+    one row per millisecond of a chunk, or one camera's chunk.
+    """
+    def around(rows: DataFrame, keys: list[str], count: str, out: str) -> DataFrame:
+        home = F.floor(F.col("recorded_ms") / chunk_ms)
+        low, high = (F.floor((F.col("recorded_ms") + d) / chunk_ms) for d in (-tolerance_ms, tolerance_ms))
+        near = Window.partitionBy("__chunk", *keys).orderBy("recorded_ms").rangeBetween(-tolerance_ms, tolerance_ms)
+        return (
+            rows.withColumn("__home", home).withColumn("__chunk", F.explode(F.sequence(low, high)))
+            .withColumn(out, F.sum(count).over(near)).where(F.col("__chunk") == F.col("__home")).drop("__chunk", "__home")
+        )
+
+    everyone = around(at.groupBy("recorded_ms").agg(F.sum("here").alias("__all")), [], "__all", "__near").drop("__all")
+    return around(at, ["camera_id"], "here", "__own").join(everyone, "recorded_ms").select(
+        "camera_id", "recorded_ms", "here", (F.col("__near") - F.col("__own")).alias("elsewhere"))

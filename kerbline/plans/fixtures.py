@@ -328,7 +328,7 @@ select s_name as label, cast(s_suppkey + 1 as string) as portal_id, case when s_
 
 def roster_new(d):
     return """
-select label, cast(row_number() over (order by k) as string) as portal_id, codec, width, true as portal_live from (
+select label, cast(k + 5000 as string) as portal_id, codec, width, true as portal_live from (
   select s_name as label, s_suppkey as k,
     case when s_suppkey % 4 = 0 then 'hevc' when s_suppkey % 2 = 0 then 'h264' end as codec,
     case when s_suppkey % 6 = 1 then 1280 else 1920 end as width

@@ -198,13 +198,13 @@ def gate(t):
 
 @query("reid_separation", f"""
 with {TRACK_VECTORS}, big as (select track_id from {{crop_vectors}} group by 1 having count(*) >= 4),
-same as (select floor(list_cosine_similarity(a.embedding, b.embedding) * 1000 + 0.5) as s from {{crop_vectors}} a
+same as (select list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from {{crop_vectors}} a
   join {{crop_vectors}} b on a.track_id = b.track_id and a.crop_no < b.crop_no where a.track_id in (select track_id from big)),
 v as (select track_id, list(m order by pos) as e from tv where track_id in (select track_id from big) group by 1),
-diff as (select floor(list_cosine_similarity(a.e, b.e) * 1000 + 0.5) as s from v a join v b on a.track_id < b.track_id)
-select (select count(*) from same) as same_pairs, round((select median(s) from same) / 1e3, 4) as same_median,
-  (select count(*) from diff) as different_pairs, round((select median(s) from diff) / 1e3, 4) as different_median,
-  round((select median(s) from same) / 1e3 - (select median(s) from diff) / 1e3, 4) as gap""")
+diff as (select list_cosine_similarity(a.e::double[], b.e::double[]) as s from v a join v b on a.track_id < b.track_id)
+select (select count(*) from same) as same_pairs, round((select median(s) from same), 4) as same_median,
+  (select count(*) from diff) as different_pairs, round((select median(s) from diff), 4) as different_median,
+  round((select median(s) from same) - (select median(s) from diff), 4) as gap""")
 def reid(t):
     r = lambda c: F.round(c, 4).alias(c)
     return quality.reid_separation(t.crop_vectors).select(

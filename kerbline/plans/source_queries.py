@@ -10,7 +10,7 @@ from kerbline.sources import contracts, scans
 ROSTERS = """select n_name as endpoint, '{{"cameras": [' || rows || '], "total": 1}}' as payload from (
   select n_name, array_join(collect_list('{{"id": ' || s_suppkey || ', "location": "' || s_name || '", "live": ' ||
     case when s_suppkey % 3 = 0 then 'false' else 'true' end || ', "codec": ' || case when s_suppkey % 5 = 0 then 'null' else '"h264"' end
-    || ', "fps": 12.5}}'), ', ') as rows from {supplier} join {nation} on s_nationkey = n_nationkey group by n_name) r""".replace("{{", "{").replace("}}", "}")
+    || ', "fps": 12.5}}'), ', ') as rows from {supplier} join {nation} on s_nationkey = n_nationkey group by n_name, floor(s_suppkey / 50)) r""".replace("{{", "{").replace("}}", "}")
 
 
 @query("scan_roster_payloads", """
@@ -67,16 +67,17 @@ DISTRICTS = """select '{"features": [{"properties": {"DISTRICT": " ' || n_name |
   || '"}, "geometry": {"type": "' || case n_nationkey % 3 when 0 then 'Polygon' when 1 then 'MultiPolygon' else 'Point' end || '", "coordinates": '
   || case n_nationkey % 3 when 0 then '[' || ring || ',[[1,1]]]' when 1 then '[[' || ring || '],[[[2,2],[3,3]]]]' else '[1, 2]' end || '}}]}' as payload
 from (select n_name, n_regionkey, n_nationkey, '[' || array_join(collect_list('[' || s_suppkey || ', ' || s_nationkey || ']'), ',') || ']' as ring
-  from {supplier} join {nation} on s_nationkey = n_nationkey group by all) r"""
+  from {supplier} join {nation} on s_nationkey = n_nationkey group by n_name, n_regionkey, n_nationkey, floor(s_suppkey / 50)) r"""
 
 
 @query("scan_district_rings", """
 with r as (select * from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1)
-select n_name as feature, cast(0 as int) as ring_no, true as outer, cast(s_suppkey as double) as x, cast(s_nationkey as double) as y from r where n_nationkey % 3 < 2
-union all select n_name, 1, false, 1e0, 1e0 from r where n_nationkey % 3 = 0 group by n_name
-union all select n_name, 1000, true, v, v from (select n_name, unnest([2e0, 3e0]) as v from r where n_nationkey % 3 = 1 group by n_name) x""")
+select n_name as feature, cast(0 as int) as polygon_no, cast(0 as int) as ring_no, true as outer, cast(s_suppkey as double) as x, cast(s_nationkey as double) as y
+  from r where n_nationkey % 3 < 2
+union all select n_name, 0, 1, false, 1e0, 1e0 from r where n_nationkey % 3 = 0 group by n_name, s_suppkey // 50
+union all select n_name, 1, 0, true, v, v from (select n_name, unnest([2e0, 3e0]) as v from r where n_nationkey % 3 = 1 group by n_name, s_suppkey // 50) x""")
 def districts(t):
-    return scans.parse_districts(t.sql(DISTRICTS), "Gujarat").select("feature", "ring_no", "outer", "x", "y")
+    return scans.parse_districts(t.sql(DISTRICTS), "Gujarat").select("feature", "polygon_no", "ring_no", "outer", "x", "y")
 
 
 @query("scan_evidence_hashes", """

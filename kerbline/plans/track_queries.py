@@ -128,15 +128,16 @@ def recorded_time(t):
 
 
 @query("clock_live_recorded_time", f"""
-with {SEGMENTS}, r as (select *, min(case when arrival_ms - a0 >= {GUARD_MS} then arrival_ms - pts_ms end) over w as anchor_ms from framed
+with {SEGMENTS}, {DRIFT}, r as (select *, min(case when arrival_ms - a0 >= {GUARD_MS} then arrival_ms - pts_ms end) over w as anchor_ms from framed
   window w as (partition by camera_id, connection_id, segment order by seq)),
 p as (select *, coalesce(((anchor_ms + pts_ms) / 1e3 + 19800 - 32400) % 43200, pts_ms / 1e3) as pos from r)
-select camera_id, seq, anchor_ms is not null as anchored, round(pos, 3) as position_s,
-  round(1781364600000 + (pos + 0.005139 * pos) * 1000) as recorded_ms from p""")
+select p.camera_id, p.seq, anchor_ms is not null as anchored, round(pos, 3) as position_s, coalesce(m.source, 'global_default') as drift_source,
+  round(1781364600000 + (pos + coalesce(m.offset_s, 0) + coalesce(m.drift_rate, 0.005139) * pos) * 1000) as recorded_ms
+from p left join m on m.camera_id = p.camera_id""")
 def live_recorded_time(t):
     anchored = frames.anchor_clock(segments(t), settle_ms=SETTLE_MS, burst_guard_ms=GUARD_MS, chunk_seq=CHUNK)
-    out = frames.apply_clock(anchored, frames.fit_drift(t.time_sync).limit(0), live=True)
-    return out.select("camera_id", "seq", F.col("anchor_ms").isNotNull().alias("anchored"),
+    out = frames.apply_clock(anchored, frames.fit_drift(t.time_sync), live=True)
+    return out.select("camera_id", "seq", F.col("anchor_ms").isNotNull().alias("anchored"), "drift_source",
                       F.round("position_s", 3).alias("position_s"), F.round("recorded_ms").alias("recorded_ms"))
 
 

@@ -129,7 +129,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_districts(features: DataFrame, state: str, payload: str = "payload") -> DataFrame:
-    """Outer and inner rings of one state's districts, one row per vertex.
+    """Outer and inner rings of one state's districts, one row per vertex; ring 0 of a polygon is the outer one.
 
     Polygons hold rings, multipolygons hold polygons of rings; other geometries are ignored.
     """
@@ -143,9 +143,9 @@ def parse_districts(features: DataFrame, state: str, payload: str = "payload") -
     rings = rows.select(F.trim(f["properties"]["DISTRICT"]).alias("feature"), F.posexplode(polygons).alias("polygon_no", "p")).select(
         "feature", "polygon_no", F.posexplode("p").alias("hole_no", "ring"))
     return rings.select(
-        "feature", (F.col("polygon_no") * 1000 + F.col("hole_no")).alias("ring_no"), (F.col("hole_no") == 0).alias("outer"),
+        "feature", "polygon_no", F.col("hole_no").alias("ring_no"), (F.col("hole_no") == 0).alias("outer"),
         F.posexplode("ring").alias("pos", "xy")).select(
-        "feature", "ring_no", "outer", F.col("pos").cast("bigint").alias("pos"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+        "feature", "polygon_no", "ring_no", "outer", F.col("pos").cast("bigint").alias("pos"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
 
 
 def read_districts(spark: SparkSession, path: str, state: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_probe_manifest_district_and_log_files(spark, folder):
     assert [(x.camera_id, x.idx, x.ok, x.first_pts_s) for x in rows] == [("7", 0, True, 1.5), ("7", 1, False, None)]
     geo = {"features": [{"properties": {"DISTRICT": "Surat ", "ST_NM": " GUJARAT"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[1, 2], [3, 4]]], [[[5, 6]]]]}},
                         {"properties": {"DISTRICT": "Goa", "ST_NM": "Goa"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0]]]}}]}
-    pts = scans.read_districts(spark, write(folder, "d.json", json.dumps(geo)), "Gujarat").orderBy("ring_no", "pos").collect()
+    pts = scans.read_districts(spark, write(folder, "d.json", json.dumps(geo)), "Gujarat").orderBy("polygon_no", "ring_no", "pos").collect()
     assert [(p.feature, p.pos, p.x, p.y) for p in pts] == [("Surat", 0, 1.0, 2.0), ("Surat", 1, 3.0, 4.0), ("Surat", 0, 5.0, 6.0)]
     log = write(folder, "cam9.log", "RPS: Server returned 500\nServer returned 404\nhello\n")
     assert sorted((x.camera_id, x.message_class) for x in scans.read_stream_log(spark, log).collect()) == [
