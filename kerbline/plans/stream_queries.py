@@ -98,3 +98,35 @@ def watchlist_match(t):
     q.awaitTermination()
     return sinks.read_log(t.spark, f"{folder}/matches").select(
         "track_id", "entry_id", "priority", "matched_via", "repaired", "source", "confidence")
+
+
+@query("stream_watchlist_match_bus", MATCH_SQL)
+def watchlist_match_bus(t):
+    """The same, with events as the producer writes them: every field text, in several files and batches."""
+    from kerbline.operators import watchlist
+    from kerbline.sources import contracts
+
+    folder = scratch(t)
+    ms = F.col("recorded_ms").cast("double")
+    rows = t.signatures.withColumns({
+        "camera_label": F.lit(""), "colour_confidence": F.lit(0.5), "recorded_at_ms": ms, "detected_at_ms": ms})
+    fields = contracts.signature_fields(rows, decimals=15)
+    fields.repartition(3, "track_id").select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/events")
+    live = pipeline.Watchlist(lambda: (watchlist.active_targets(t.watchlist_entries, t.watchlists), t.watchlist_views))
+    q = pipeline.match_stream(pipeline.signature_files(t.spark, f"{folder}/events"), live, dim=VECTOR_DIM, out=folder,
+                              checkpoint=f"{folder}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return sinks.read_log(t.spark, f"{folder}/matches").select(
+        "track_id", "entry_id", "priority", "matched_via", "repaired", "source", "confidence")
+
+
+@query("alert_log_compaction", FOLD_SQL)
+def alert_log_compaction(t):
+    """The alert table of a log that was compacted, replayed and compacted again."""
+    folder = scratch(t)
+    states = pipeline.fold_state(t.alert_sightings)
+    for batch in (0, 1, 1):  # the second batch is replayed
+        sinks.write_batch(states, f"{folder}/alerts", batch)
+        sinks.compact_alerts(t.spark, f"{folder}/alerts")
+    sinks.compact_alerts(t.spark, f"{folder}/alerts")
+    return sinks.read_alerts(t.spark, f"{folder}/alerts").drop("alert_id", "batch_id", "change")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,38 @@ def current_alerts(log: DataFrame) -> DataFrame:
     return newest.select("alert_id", "s.*")
 
 
+def _newest_compaction(spark: SparkSession, path: str) -> int | None:
+    try:
+        found = spark.read.parquet(f"{path}/compacted").agg(F.max("upto").alias("upto")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found["upto"]
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alert table: the newest compaction and the batches after it, folded."""
+    upto = _newest_compaction(spark, path)
+    log = read_log(spark, path)
+    if upto is None:
+        return current_alerts(log)
+    base = spark.read.parquet(f"{path}/compacted/upto={upto}").select(*log.columns)
+    return current_alerts(log.where(F.col("batch_id") > upto).unionByName(base))
+
+
+def compact_alerts(spark: SparkSession, path: str) -> None:
+    """Fold a log of alert states so far into one table, named after the last batch in it.
+
+    Reads need that table and later batches only; partition pruning skips the folders of earlier ones, which
+    may be deleted once no replay can rewrite them. Replaying a batch and compacting again gives the same.
+    """
+    last = read_log(spark, path).agg(F.max("batch_id").alias("b")).first()["b"]
+    if last is None or last == _newest_compaction(spark, path):
+        return
+    read_alerts(spark, path).write.mode("overwrite").parquet(f"{path}/compacted/upto={last}")
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     """Chosen fields, tab-separated, no header: for tools that read lines."""
     df.write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
