@@ -177,9 +177,11 @@ def fit(
 def probabilities(chain: list[Link], text: Column, names: tuple[str, ...]) -> Column:
     """A struct with one probability per link."""
 
+    known = frozenset().union(*[link.words.keys() for link in chain])
+
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def score(column: pd.Series) -> pd.DataFrame:
-        rows = [words_of(x) for x in column]
+        rows = [known & words_of(x) for x in column]  # of a batch of texts, only the words that count are held
         p = chain_probabilities(chain, rows) if chain else np.zeros((len(rows), len(names)))
         return pd.DataFrame(p, columns=list(names))
 
