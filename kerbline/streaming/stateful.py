@@ -69,14 +69,15 @@ def sampled_frames(
         step, SAMPLED, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def closed_tracks(detections: DataFrame, idle_ms: float = IDLE_CLOSE_MS) -> DataFrame:
+def closed_tracks(detections: DataFrame, idle_ms: float = IDLE_CLOSE_MS, departed_after_ms: int | None = None) -> DataFrame:
     """Tracks as they close: idle for longer than ``idle_ms`` on the camera's own clock, or cut by a new segment.
 
-    A row without a tracker id is a frame with nothing in it; it still moves the clock.
+    A row without a tracker id is a frame with nothing in it; it still moves the clock. With
+    ``departed_after_ms``, a camera that sends nothing for that long has its open tracks closed and its
+    state dropped, by a timer that fires with the next micro-batch of any camera.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
         opened: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
         out = []
 
@@ -84,6 +85,13 @@ def closed_tracks(detections: DataFrame, idle_ms: float = IDLE_CLOSE_MS) -> Data
             cls, first, last, n = opened.pop(tracker)
             out.append((key[0], int(tracker), cls, first, last, n, cls in VEHICLE_CLASSES))
 
+        if state.hasTimedOut:
+            for tracker in list(opened):
+                close(tracker)
+            state.remove()
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED_TRACK.split(", ")])
+            return
+        rows = pd.concat(list(batches)).sort_values("seq")
         for _, frame in rows.groupby("seq", sort=True):
             if bool(frame["starts_segment"].iloc[0]):
                 for tracker in list(opened):
@@ -97,7 +105,9 @@ def closed_tracks(detections: DataFrame, idle_ms: float = IDLE_CLOSE_MS) -> Data
             for tracker in [k for k, v in opened.items() if now - v[2] > idle_ms]:
                 close(tracker)
         state.update((json.dumps(opened),))
+        if departed_after_ms is not None:
+            state.setTimeoutDuration(departed_after_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED_TRACK.split(", ")])
 
-    return detections.groupBy("camera_id").applyInPandasWithState(
-        step, CLOSED_TRACK, "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if departed_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return detections.groupBy("camera_id").applyInPandasWithState(step, CLOSED_TRACK, "state string", "append", timeout)

@@ -115,3 +115,23 @@ def test_bad_events_are_set_aside_and_the_watchlist_is_reread(spark, folder):
     assert sinks.read_log(spark, f"{folder}/out/counters").first().processed == 1
     watch.current()
     assert len(loads) == 1 and watch.current(force=True) and len(loads) == 2
+
+
+def test_a_camera_that_falls_silent_has_its_tracks_closed(spark, folder):
+    import time
+
+    schema = "camera_id string, seq bigint, recorded_ms bigint, tracker_id bigint, cls string, starts_segment boolean"
+    first = [("silent", 1, 0, 7, "car", False), ("silent", 2, 40, 7, "car", False), ("live", 1, 0, 3, "bus", False)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{folder}/in/part=0")
+    stream = spark.readStream.schema(schema + ", part int").parquet(f"{folder}/in").drop("part")
+    out = stateful.closed_tracks(stream, departed_after_ms=4_000)
+    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/cp").option("path", f"{folder}/out")
+    q = writer.trigger(processingTime="1 second").start()
+    try:
+        for i in range(1, 8):
+            time.sleep(2)
+            spark.createDataFrame([("live", 1 + i, 40 * i, 3, "bus", False)], schema).coalesce(1).write.parquet(f"{folder}/in/part={i}")
+    finally:
+        q.stop()
+    got = spark.read.schema(out.schema).parquet(f"{folder}/out").where("camera_id = 'silent'").collect()
+    assert [(r.tracker_id, r.started_ms, r.ended_ms, r.frame_count) for r in got] == [(7, 0, 40, 2)]
