@@ -11,11 +11,14 @@ coordinates make a band; 40 bands give a pair with similarity 0.75 a chance of 2
    signatures agree in less than ``LEAST_AGREEMENT`` of the coordinates (over six standard deviations
    below 0.75) goes; the others are confirmed on full sets, and links give components.
 3. A bucket that still holds several components may hide further links. Its largest component is cut into
-   blocks, the other members visit every block and each other; signatures are compared inside the task and
-   only pairs of different components that agree enough leave it. They are confirmed like the stars, and
-   join components. Pairs inside a component need no check: they are connected already.
+   blocks, the other members visit every block and each other. Inside a task, signatures tell which rows
+   may have a partner in another component; these rows get their full sets and meet again in the same
+   block, where every two rows of different components are compared exactly. Only links that join
+   components leave a task, never pairs. Pairs inside a component need no check: they are connected already.
 
-No bucket is capped, no group is gathered in one task, and nothing but counts reaches the driver.
+No bucket is capped, no group is gathered in one task, and nothing but counts reaches the driver. Within a
+bucket that many documents share without being linked, the comparing in blocks is quadratic; exactness
+demands it, and rows that no signature brings near another are out before sets are read.
 
 Null texts and texts without words have an empty set: size 0, linked with nothing, a component of their
 own. Rows that share an id are one node: what one of them is linked with, all are. Rows without an id have
@@ -25,7 +28,7 @@ no component, link nothing and are kept. Ties don't arise.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,13 +132,20 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame
     return pairs.join(l, "a").join(r, "b").where(sized).where(agreement("al", "bl") >= LEAST_AGREEMENT * COORDINATES).select("a", "b")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
+def full_sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, items) of the documents in ``needed`` (id). Texts travel, not hashed sets, which are larger."""
 
     @F.pandas_udf("binary")
     def full(column: pd.Series) -> pd.Series:
         return pd.Series([shingles(x).tobytes() for x in column], dtype=object)
 
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi")
+    return texts.select("id", full("text").alias("items"))
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union of their full sets."""
+
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.zeros(len(x), dtype=bool)
@@ -148,9 +158,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, id: str, text: str, percent: int)
         return pd.Series(out)
 
     needed = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    # Texts travel, not hashed sets: they are half the size; sets are made where pairs meet.
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi").select("id", full("text").alias("items"))
-    l, r = texts.withColumnsRenamed({"id": "a", "items": "ai"}), texts.withColumnsRenamed({"id": "b", "items": "bi"})
+    sets = full_sets(docs, needed, id, text)
+    l, r = sets.withColumnsRenamed({"id": "a", "items": "ai"}), sets.withColumnsRenamed({"id": "b", "items": "bi"})
     return pairs.join(l, "a").join(r, "b").where(linked("ai", "bi")).select("a", "b")
 
 
@@ -183,65 +192,122 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _across(members: DataFrame, id_type: T.DataType, threshold: float) -> DataFrame:
-    """Pairs (a, b), a > b, of different components that share a bucket and agree enough.
+def _visits(members: DataFrame) -> DataFrame:
+    """Rows of ``members`` (key, rep, label, ...) dealt to blocks (key, i, j), each on a side.
 
-    ``members``: key, rep, label, n, low. The largest component's rows stand in one block each; the other
-    rows visit all of these blocks, and blocks of their own kind pairwise.
+    The largest component of a bucket is cut into blocks i < 0 and stands on the left there, each row
+    once; all other rows visit these on the right, and meet each other in blocks i <= j.
     """
     counts = members.groupBy("key", "label").agg(F.count("*").alias("c"))
     shape = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
     shape = shape.select("key", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).alias("bulk_blocks"),
                          F.ceil(F.greatest(F.col("all") - F.col("top.c"), F.lit(1)) / BLOCK).alias("other_blocks"))
-    rows = members.join(shape, "key")
-    bulk, h = F.col("label") == F.col("top"), F.xxhash64("rep")
-    # A visit is (i, j, side): i < 0 is a block of the largest component, met by all others from the right.
+    bulk, h, zero = F.col("label") == F.col("top"), F.xxhash64("rep"), F.lit(0).cast("long")
     own = F.pmod(h, F.col("other_blocks"))
-    visits = F.when(bulk, F.array(F.struct((-1 - F.pmod(h, F.col("bulk_blocks"))).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")))).otherwise(F.concat(
-        F.transform(F.sequence(F.lit(1).cast("long"), F.col("bulk_blocks")), lambda b: F.struct((-b).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(1).alias("side"))),
-        F.transform(F.sequence(own, F.col("other_blocks") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("side"))),
-        F.transform(F.sequence(F.lit(0).cast("long"), own), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("side"))),
+    visit = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    visits = F.when(bulk, F.array(visit(-1 - F.pmod(h, F.col("bulk_blocks")), zero, 0))).otherwise(F.concat(
+        F.transform(F.sequence(F.lit(1).cast("long"), F.col("bulk_blocks")), lambda b: visit(-b, zero, 1)),
+        F.transform(F.sequence(own, F.col("other_blocks") - 1), lambda j: visit(own, j, 0)),
+        F.transform(F.sequence(zero, own), lambda i: visit(i, own, 1)),
     ))
-    dealt = rows.select("key", "rep", "label", "n", "low", F.explode(visits).alias("at")).select("key", "at.*", "rep", "label", "n", "low")
+    return members.join(shape, "key").select(*members.columns, F.explode(visits).alias("at")).select("key", "at.*", *members.columns[1:])
+
+
+def _by_block(dealt: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame | None], fields: T.StructType) -> DataFrame:
+    """``run`` over each block's rows, one block of a sorted partition after another."""
     group = ["key", "i", "j"]
-    fields = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
-    def found(part: pd.DataFrame) -> list[tuple]:
-        side = part["side"].to_numpy()
-        if side.min() == side.max():
-            return []
-        l, r = part[side == 0], part[side == 1]
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = held[group].to_numpy()
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *ends[:-1]], ends):
+                out = run(held.iloc[lo:hi]) if hi - lo > 1 else None
+                if out is not None and len(out):
+                    yield out
+            if len(ends):
+                held = held.iloc[ends[-1]:].reset_index(drop=True)
+        out = run(held) if held is not None and len(held) > 1 else None
+        if out is not None and len(out):
+            yield out
+
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(scan, fields)
+
+
+def _sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame] | None:
+    side = part["side"].to_numpy()
+    return None if side.min() == side.max() else (part[side == 0], part[side == 1])
+
+
+def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
+    """The rows (key, i, j, side, rep, label) that some row of another component in their block agrees with.
+
+    ``members``: key, rep, label, n, low.
+    """
+    dealt = _visits(members)
+    fields = T.StructType([dealt.schema[c] for c in ("key", "i", "j", "side", "rep", "label")])
+
+    def hopeful(part: pd.DataFrame) -> pd.DataFrame | None:
+        sides = _sides(part)
+        if sides is None:
+            return None
+        l, r = sides
         lm = np.frombuffer(b"".join(l["low"]), dtype=np.uint8).reshape(len(l), -1)
         rm = np.frombuffer(b"".join(r["low"]), dtype=np.uint8).reshape(len(r), -1)
         ln, rn, ll, rl = l["n"].to_numpy(), r["n"].to_numpy(), l["label"].to_numpy(), r["label"].to_numpy()
-        li, ri, out = l["rep"].to_numpy(), r["rep"].to_numpy(), []
+        l_on, r_on = np.zeros(len(l), dtype=bool), np.zeros(len(r), dtype=bool)
         for k in range(len(r)):
             able = np.flatnonzero((ll != rl[k]) & (np.minimum(ln, rn[k]) >= threshold * np.maximum(ln, rn[k]) - 1e-6))
             if len(able):
                 hit = able[(lm[able] == rm[k]).sum(axis=1) >= LEAST_AGREEMENT * COORDINATES]
-                out.extend((max(a, ri[k]), min(a, ri[k])) for a in li[hit].tolist())
-        return out
+                l_on[hit] = True
+                r_on[k] = len(hit) > 0
+        return pd.concat([l[l_on], r[r_on]])[fields.names]
+
+    return _by_block(dealt, hopeful, fields)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ends = np.flatnonzero((held[group].to_numpy()[1:] != held[group].to_numpy()[:-1]).any(axis=1)) + 1
-            out = []
-            for lo, hi in zip([0, *ends[:-1]], ends):
-                if hi - lo > 1:
-                    out.extend(found(held.iloc[lo:hi]))
-            if len(ends):
-                held = held.iloc[ends[-1]:].reset_index(drop=True)
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-        if held is not None and len(held) > 1:
-            out = found(held)
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
 
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(scan, fields).distinct()
+def _bridges(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components with a confirmed link; of a block's rows only those that join something.
+
+    ``rows``: what :func:`_hopeful` gives, and the full sets, ``items``.
+    """
+    label = rows.schema["label"].dataType
+    fields = T.StructType([T.StructField("a", label), T.StructField("b", label)])
+
+    def bridges(part: pd.DataFrame) -> pd.DataFrame | None:
+        sides = _sides(part)
+        if sides is None:
+            return None
+        l, r = sides
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in l["items"]]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(known), dtype=np.int64)
+        names, at = np.unique(np.concatenate([l["label"].to_numpy(), r["label"].to_numpy()]), return_inverse=True)
+        root, out = at.copy(), []  # of every row, the component it belongs to by now
+        for k, x in enumerate(r["items"]):
+            mine = np.frombuffer(x, dtype=np.uint64)
+            place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            place = place[known[place] == mine]
+            own = root[len(l) + k]
+            if not len(place) or (root[:len(l)] == own).all():
+                continue
+            mark[place] = 1
+            common = np.add.reduceat(mark[codes], starts)
+            mark[place] = 0
+            for i in np.flatnonzero((100 * common >= percent * (sizes + len(mine) - common)) & (root[:len(l)] != own)):
+                other = root[i]
+                if other != own:
+                    out.append((names[at[i]], names[at[len(l) + k]]))
+                    root[root == other] = own
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return _by_block(rows, bridges, fields).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -265,12 +331,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     # A bucket of two was settled by its star.
     placed = shared.where(F.col("size") > 2).join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    members = placed.join(mixed, "key", "left_semi").join(marks, "rep")
-    more = cut_lineage(_across(members, docs.schema[id].dataType, threshold).join(checked, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        late = confirm(docs, more, id, text, percent)
-        a, b = labels.select(F.col("v").alias("a"), F.col("label").alias("x")), labels.select(F.col("v").alias("b"), F.col("label").alias("y"))
-        bridges = late.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    members = placed.join(mixed, "key", "left_semi").join(marks, "rep").select("key", "rep", "label", "n", "low")
+    hopeful = stored(_hopeful(members, threshold))
+    if not hopeful.isEmpty():
+        sets = full_sets(docs, hopeful.select(F.col("rep").alias("id")).distinct(), id, text).withColumnRenamed("id", "rep")
+        bridges = _bridges(hopeful.join(sets, "rep"), percent)
         joined = components(bridges).select(F.col("v").alias("label"), F.col("label").alias("next"))
         alone = joined.join(labels.select(F.col("v").alias("label")), "label", "left_anti").select(F.col("label").alias("v"), F.col("next").alias("label"))
         labels = labels.join(joined, "label", "left").select("v", F.coalesce("next", "label").alias("label")).unionAll(alone)
