@@ -16,7 +16,8 @@ coordinates make a band; 40 bands give a pair with similarity 0.75 a chance of 2
    block, where every two rows of different components are compared exactly. Only links that join
    components leave a task, never pairs. Pairs inside a component need no check: they are connected already.
 
-No bucket is capped, no group is gathered in one task, and nothing but counts reaches the driver. Within a
+No bucket is capped, no group is gathered in one task, and nothing but counts and a bitmap of fixed size
+reaches the driver. Within a
 bucket that many documents share without being linked, the comparing in blocks is quadratic; exactness
 demands it, and rows that no signature brings near another are out before sets are read.
 
@@ -45,6 +46,8 @@ BANDS = 40
 BAND_ROWS = 5
 COORDINATES = BANDS * BAND_ROWS
 LEAST_AGREEMENT = 0.55
+#: Bits of the filter that goes ahead of the two large joins: 8 MB.
+FILTER_BITS = 1 << 26
 #: Rows of a block in which signatures are compared.
 BLOCK = 1024
 _SLICE = 1024
@@ -132,6 +135,29 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame
     return pairs.join(l, "a").join(r, "b").where(sized).where(agreement("al", "bl") >= LEAST_AGREEMENT * COORDINATES).select("a", "b")
 
 
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """Rows of ``df`` without most of those whose ``column`` is not among the wanted values.
+
+    A bitmap of hashed values, ``FILTER_BITS`` long whatever the tables' sizes, goes to the tasks. A join
+    decides afterwards; it then moves little more than what it keeps.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS)) + 1
+    marked = wanted.select(place(wanted_column).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in marked.toLocalIterator():
+        bits = np.frombuffer(row["bits"], dtype=np.uint8)
+        bitmap[(row["bucket"] - 1) * len(bits):row["bucket"] * len(bits)] = bits
+    shipped = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked_value(p: pd.Series) -> pd.Series:
+        at = p.to_numpy() - 1
+        return pd.Series((shipped.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return df.where(marked_value(place(column)))
+
+
 def full_sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
     """(id, items) of the documents in ``needed`` (id). Texts travel, not hashed sets, which are larger."""
 
@@ -139,7 +165,8 @@ def full_sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFra
     def full(column: pd.Series) -> pd.Series:
         return pd.Series([shingles(x).tobytes() for x in column], dtype=object)
 
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi")
+    needed = cut_lineage(needed)
+    texts = maybe_in(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "id", needed, "id").join(needed, "id", "left_semi")
     return texts.select("id", full("text").alias("items"))
 
 
@@ -322,7 +349,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     hubs = stored(
         buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
         .where(F.col("hub") < F.col("last")).select("key", "hub", "size"))
-    shared = stored(buckets.join(hubs, "key"))  # only buckets with two members or more
+    shared = stored(maybe_in(buckets, "key", hubs, "key").join(hubs, "key"))  # only buckets with two members or more
     stars = shared.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     checked = cut_lineage(_agreeing(stars, marks, threshold))
     links = cut_lineage(confirm(docs, checked, id, text, percent))
