@@ -70,8 +70,9 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", id:
                 sums[name] = sums[name] + found if name in sums else found
         yield pd.DataFrame([(k, v.tobytes()) for k, v in sums.items()], columns=["lang", "counts"])
 
-    # At most sample_rows ids: a proven bound for the broadcast and for the counts that come back.
-    counted = known.join(F.broadcast(picked.distinct()), ["h", "id"]).select("lang", "text").mapInPandas(count, fields).toPandas()
+    # At most sample_rows ids: a proven bound for the broadcast. The sample's texts meet in a few partitions,
+    # so a few tables of counts come back, whatever number of files the documents lie in.
+    counted = known.join(F.broadcast(picked.distinct()), ["h", "id"]).select("lang", "text").repartition(8).mapInPandas(count, fields).toPandas()
     names = sorted(counted["lang"].unique())
     table = np.full((len(names), BUCKETS), 0.1)
     for name, raw in zip(counted["lang"], counted["counts"]):
