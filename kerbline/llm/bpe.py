@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 
 from kerbline.llm.common import fresh
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
 #: Texts are encoded together up to this many characters; a longer one is encoded alone.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 WORD_SHIFT = 8
 WORD_MASK = (1 << WORD_SHIFT) - 1
 

@@ -7,13 +7,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.session import checkpoint_dir
+from kerbline.session import checkpoint_dir, prepare
+
+#: Rows that go to a Python worker at a time. Texts are long and lists of tokens longer: Spark's own 10,000
+#: rows are tens of megabytes several times over.
+BATCH_ROWS = 1000
 
 #: The characters that separate words, everywhere in this package.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
 
+def prepare_texts(spark: SparkSession) -> SparkSession:
+    """The library's session settings, and small Arrow batches."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.session import prepare
+from kerbline.llm.common import prepare_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name``."""
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(prepare_texts(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn
