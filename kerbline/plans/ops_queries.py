@@ -244,7 +244,23 @@ def extent(t):
     return boundaries.bounds(boundaries.ring_measures(t.rings))
 
 
-@query("boundary_simplified_rings")
+@query("boundary_simplified_rings", """
+with recursive v as (select feature, ring_no, pos, x, y from {rings}),
+ends as (select feature, ring_no, min(pos) as a, max(pos) as b from v group by 1, 2),
+walk as (
+  select feature, ring_no, a, b from ends
+  union all
+  select feature, ring_no, unnest([a, m]), unnest([m, b]) from (
+    select feature, ring_no, a, b, -max({'d': d, 'q': -pos}).q as m from (
+      select w.feature, w.ring_no, w.a, w.b, p.pos,
+        sqrt(pow(p.x - (f.x + u * (g.x - f.x)), 2) + pow(p.y - (f.y + u * (g.y - f.y)), 2)) as d
+      from walk w join v f on f.feature = w.feature and f.ring_no = w.ring_no and f.pos = w.a
+      join v g on g.feature = w.feature and g.ring_no = w.ring_no and g.pos = w.b
+      join v p on p.feature = w.feature and p.ring_no = w.ring_no and p.pos > w.a and p.pos < w.b,
+      lateral (select pow(g.x - f.x, 2) + pow(g.y - f.y, 2) as len) l,
+      lateral (select case when len = 0 then 0 else greatest(0, least(1, ((p.x - f.x) * (g.x - f.x) + (p.y - f.y) * (g.y - f.y)) / len)) end as u) k) far
+    group by 1, 2, 3, 4 having max(d) > 2.5) s)
+select v.* from v where (feature, ring_no, pos) in (select (feature, ring_no, a) from walk union select (feature, ring_no, b) from walk)""")
 def simplified(t):
     return boundaries.simplify_rings(t.rings, tolerance=2.5).select("feature", "ring_no", "pos", "x", "y")
 
