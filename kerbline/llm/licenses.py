@@ -5,7 +5,7 @@ Templates are cut into ``GRAM``-word fingerprints, winnowed (the least hash of e
 stays) and kept in an inverted index: hash to (template, place). Every fingerprint of a document is looked
 up. Hits of one template whose implied beginnings lie within the band of each other are one candidate.
 
-A candidate is aligned with its template: word by word, within ``BAND`` of the implied diagonal, for the
+A candidate is aligned with its template: word by word, within ``BAND`` of the implied diagonal (less than the template is long), for the
 most matched words (then the shortest stretch). It is reported when the matched share of the template
 reaches ``COVERAGE``, with the span of code points from its first to its last matched word. Where reports
 of one document overlap, the one with more matched words stays (then the earlier one, then the template
@@ -117,16 +117,22 @@ class Match:
     last: int
 
 
+def _band(template: list[bytes]) -> int:
+    """Less than the template is long, so that one repetition of it is not taken for the next."""
+    return min(BAND, len(template) - 1)
+
+
 def align(template: list[bytes], words: list[bytes], start: int, t: int) -> Match | None:
-    """The most matched words with the document place within ``BAND`` of ``start`` plus the template place."""
-    width = 2 * BAND + 1
-    # Cell c of row i stands for document place start + i - BAND + c; values are (matched, first, last).
+    """The most matched words with the document place within the band of ``start`` plus the template place."""
+    band = _band(template)
+    width = 2 * band + 1
+    # Cell c of row i stands for document place start + i - band + c; values are (matched, first, last).
     none = (0, 0, 0)
     above = [none] * width
     for i, w in enumerate(template):
         row, left = [], none
         for c in range(width):
-            place = start + i - BAND + c
+            place = start + i - band + c
             best = above[c + 1] if c + 1 < width else none  # template word unmatched
             if left[0] > best[0] or (left[0] == best[0] and left[2] - left[1] < best[2] - best[1]):
                 best = left  # document word unmatched
@@ -157,7 +163,7 @@ def matches_of(index: Index, words: list[bytes]) -> list[Match]:
         for begin in sorted(all_begins):
             if until is not None and begin <= until:
                 continue
-            until = begin + BAND
+            until = begin + _band(index.words[t])
             m = align(index.words[t], words, begin, t)
             if m and m.matched >= COVERAGE * len(index.words[t]):
                 found.append(m)
