@@ -45,11 +45,11 @@ def test_alignment_equals_the_longest_common_words():
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a)):
             for j in range(len(b)):
-                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (a[i] == b[j]) if abs(j - i) <= licenses.BAND else 0)
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (a[i] == b[j]) if abs(j - i) <= licenses._band(a) else 0)
         m = licenses.align(a, b, 0, 0)
         best = m.matched if m else 0
         assert best <= table[-1][-1]
-        if max(len(a), len(b)) <= licenses.BAND:
+        if max(len(a), len(b)) <= licenses._band(a) + 1:
             assert best == table[-1][-1]
 
 
