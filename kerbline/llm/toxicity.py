@@ -18,10 +18,12 @@ kinds every probability is 0 and nothing is rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +142,13 @@ def chain_probabilities(chain: list[Link], rows: list[set[bytes]]) -> np.ndarray
     return earlier
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample_rows: int) -> pd.DataFrame:
-    """(id, label, words), at most ``sample_rows`` rows of each label, in an order that reruns repeat."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample_rows: int,
+) -> tuple[list, np.ndarray, list[frozenset[bytes]]]:
+    """Ids, labels and words, at most ``sample_rows`` rows of each label.
+
+    Words of fewer than ``MIN_ROWS`` rows are left out: no model uses them. A word is one object in all rows.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.max(label).alias("__y"))
     picked = None
     for value in (0, 1):
@@ -154,19 +161,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
 
     # At most twice sample_rows ids: a proven bound for the broadcast.
     joined = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id")
-    return joined.select("__id", "__y", words("__text").alias("__words")).toPandas()
+    found = joined.select("__id", "__y", words("__text").alias("__words")).toArrow()
+    lists = found.column("__words").combine_chunks()
+    coded = lists.flatten().dictionary_encode() if len(lists) else pa.array([], pa.binary()).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    kept = np.bincount(codes, minlength=len(coded.dictionary)) >= MIN_ROWS
+    names = {int(k): coded.dictionary[int(k)].as_py() for k in np.flatnonzero(kept)}
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(int) if len(lists) else []
+    rows, start = [], 0
+    for end in ends:
+        mine = codes[start:end]
+        rows.append(frozenset(map(names.__getitem__, mine[kept[mine]].tolist())))
+        start = end
+    return found.column("__id").to_pylist(), np.array(found.column("__y").to_pylist(), dtype=int), rows
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", seeds: dict[str, tuple[str, ...]] = SEEDS,
     sample_rows: int = SAMPLE_ROWS,
 ) -> list[Link]:
-    sample = labelled_sample(docs, labels, id, text, label, sample_rows)
-    y = sample["__y"].to_numpy(dtype=int) if len(sample) else np.zeros(0, dtype=int)
+    ids, y, rows = labelled_sample(docs, labels, id, text, label, sample_rows)
     if len(np.unique(y)) < 2:
         return []
-    rows = [frozenset(map(bytes, w)) for w in sample["__words"]]
-    order = sorted(range(len(rows)), key=lambda i: (sample["__id"].iat[i], y[i], sorted(rows[i])))
+    times = Counter(ids)
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], y[i], sorted(rows[i]) if times[ids[i]] > 1 else []))
     rows, y = [rows[i] for i in order], y[order]
     named = {c: np.array([int(t and not words.isdisjoint(w.encode() for w in seed)) for t, words in zip(y, rows)]) for c, seed in seeds.items()}
     # Equal texts share a fold, so a copy of a row never predicts it.
