@@ -81,6 +81,15 @@ def track_sessions(t):
     return finish(stateful.closed_tracks(rows, IDLE_MS), scratch(t))
 
 
+@query("stream_track_sessions_to_end", f"""
+with {SESSIONS} select camera_id, tracker_id, max(track_cls) as cls, min(recorded_ms) as started_ms, max(recorded_ms) as ended_ms, count(*) as frame_count,
+  max(track_cls) <> 'person' as is_vehicle from dn group by camera_id, tracker_id, session""")
+def track_sessions_to_end(t):
+    """The same feed closed at its end: no track is left open."""
+    rows = stream_of(t, "events", "detections").withColumn("starts_segment", F.lit(False))
+    return stateful.tracks_to_end(rows, scratch(t), IDLE_MS)
+
+
 @query("stream_watchlist_match", MATCH_SQL)
 def watchlist_match(t):
     """Signature events are landed as JSON lines, read back as a stream, validated and matched."""

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.operators.frames import BURST_GUARD_MS, MAX_FORWARD_GAP_MS, SETTLE_MS
@@ -111,3 +112,27 @@ def closed_tracks(detections: DataFrame, idle_ms: float = IDLE_CLOSE_MS, departe
 
     timeout = GroupStateTimeout.NoTimeout if departed_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return detections.groupBy("camera_id").applyInPandasWithState(step, CLOSED_TRACK, "state string", "append", timeout)
+
+
+def tracks_to_end(detections: DataFrame, folder: str, idle_ms: float = IDLE_CLOSE_MS) -> DataFrame:
+    """All tracks of a feed that ends: what ``closed_tracks`` emits, and the tracks still open after the last row.
+
+    The feed is run to its end; then a closing row for every camera with state, read from the state store, goes
+    through the same query, so every track is emitted once and by one path. Output and checkpoint lie in ``folder``;
+    called again with it, a run goes on where it stopped. Rows that come after the end are a new feed.
+    """
+    spark, ends = detections.sparkSession, f"{folder}/ends"
+    spark.createDataFrame([], detections.schema).write.mode("append").parquet(ends)
+    closed = closed_tracks(detections.unionByName(spark.readStream.schema(detections.schema).parquet(ends)), idle_ms)
+
+    def run() -> None:
+        closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option(
+            "path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    # In one batch with rows of its camera, the closing row is the last.
+    said = {"seq": F.lit((1 << 63) - 1), "recorded_ms": F.lit(0), "starts_segment": F.lit(True), "camera_id": F.col("key.camera_id")}
+    marks = [said.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in detections.schema.fields]
+    spark.read.format("statestore").load(f"{folder}/checkpoint").select(*marks).write.mode("append").parquet(ends)
+    run()
+    return spark.read.schema(closed.schema).parquet(f"{folder}/out")

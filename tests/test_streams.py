@@ -135,3 +135,13 @@ def test_a_camera_that_falls_silent_has_its_tracks_closed(spark, folder):
         q.stop()
     got = spark.read.schema(out.schema).parquet(f"{folder}/out").where("camera_id = 'silent'").collect()
     assert [(r.tracker_id, r.started_ms, r.ended_ms, r.frame_count) for r in got] == [(7, 0, 40, 2)]
+
+
+def test_a_feed_that_ends_leaves_no_track_open(spark, folder):
+    schema = "camera_id string, seq bigint, recorded_ms bigint, tracker_id bigint, cls string, starts_segment boolean"
+    batches = [[("a", 1, 0, 7, "car", False), ("b", 1, 0, 3, "person", False)], [("a", 2, 40, 7, "car", False), ("a", 3, 9_000_000, 8, "bus", False)]]
+    stream = landed(spark, folder, batches, schema)
+    want = [("a", 7, 0, 40, 2), ("a", 8, 9_000_000, 9_000_000, 1), ("b", 3, 0, 0, 1)]
+    for _ in range(2):  # the second run finds everything done
+        got = stateful.tracks_to_end(stream, f"{folder}/run")
+        assert sorted((r.camera_id, r.tracker_id, r.started_ms, r.ended_ms, r.frame_count) for r in got.collect()) == want
