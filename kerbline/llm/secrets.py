@@ -8,9 +8,12 @@ these counts; a step adds the character that enters and removes the one that lea
 counts. Entropy is log2(W) - sum / W. Sums are kept in whole units of 2**-20, so no rounding error
 builds up along a long candidate. Windows that reach the class's threshold and overlap are one span.
 
-The allow-list (UUIDs, runs of letters only, alphabets, digests and data URIs by what stands before
-them, parts of web addresses) and spans that a fixed format already covers suppress what the windows
-find. Fixed formats are never suppressed.
+The allow-list takes out what it names and nothing beside it. Placeholders and alphabets, and a digest
+after its name, are cut out of a candidate; in the path of a web address candidates end at slashes, so
+names of folders are not glued together. What is left on either side is searched on its own, unless it is
+a UUID or a run of letters or digits only. User info, path segments and query values of addresses are
+candidates like others. Only the payload of a data URI is passed over whole. Spans that a fixed format
+already covers are not listed again; fixed formats are never suppressed.
 
 Null texts count as empty and give no span. Repeated rows each get their own result. Other columns stay.
 """
@@ -55,15 +58,22 @@ CLASSES = (
 #: In the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", *[c.kind for c in CLASSES])
 
-#: A candidate that one of these matches is no secret.
+#: Cut out of candidates wherever they stand.
+PLACEHOLDER = r"(?i)0123456789|abcdefghijklmnop|example|xxxxxxxx"
+#: What is left of a candidate is no secret if one of these matches.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z+/_=-]*$",
     r"^[0-9+/_=-]*$",
-    r"(?i)0123456789|abcdefghijklmnop|example|xxxxxxxx",
+    PLACEHOLDER,
 )
-#: Nor one after a text that one of these matches; the last CONTEXT characters before it are looked at.
-ALLOW_BEFORE = (r"(?i)sha(1|256|384|512)[-:]$", r"(?i);base64,$", r"(?i)[a-z]://\S*$")
+#: Nor is a candidate after a text that one of these matches; the last CONTEXT characters before it are looked at.
+ALLOW_BEFORE = (r"(?i);base64,$",)
+#: After this the candidate's beginning is a digest, in hexadecimal or base64.
+DIGEST_BEFORE = r"(?i)sha(1|256|384|512)[-:]$"
+DIGEST = r"^(?:[0-9a-fA-F]{20,128}+(?![0-9A-Za-z+])|[A-Za-z0-9+/]{20,86}={0,2})"
+#: After the first a candidate is part of a web address, after the second of its query or fragment.
+ADDRESS_BEFORE, QUERY_BEFORE = r"(?i)[a-z]://\S*$", r"(?i)[a-z]://\S*[?#]\S*$"
 CONTEXT = 64
 
 
@@ -170,22 +180,45 @@ def _windows(candidate: Column, c: CharacterClass) -> Column:
     return bind(codes, slide)
 
 
-def _allowed(hit: Column) -> Column:
+def _matches(text: Column, patterns: tuple[str, ...]) -> Column:
     ok = F.lit(False)
-    for p in ALLOW:
-        ok = ok | hit["hit"].rlike(p)
-    for p in ALLOW_BEFORE:
-        ok = ok | hit["before"].rlike(p)
+    for p in patterns:
+        ok = ok | text.rlike(p)
     return ok
 
 
+def _cut(text: Column, pattern: str) -> Column:
+    """(at, text) of what stands between the pattern's matches."""
+    ends = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+
+    def add(state: Column, p: Column) -> Column:
+        return F.struct(
+            (state["at"] + F.length(p["gap"]) + p["len"]).alias("at"),
+            F.concat(state["out"], F.array(F.struct(state["at"].alias("at"), p["gap"].alias("text")))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
+    gaps = F.zip_with(F.split(text, pattern, -1), ends, lambda gap, n: F.struct(gap.alias("gap"), F.coalesce(n, F.lit(0)).alias("len")))
+    return F.aggregate(gaps, zero, add, lambda s: s["out"])
+
+
+def _parts(hit: Column, c: CharacterClass) -> Column:
+    """(at, text) of the parts of a candidate that are searched."""
+    text, before = hit["hit"], hit["before"]
+    digest = before.rlike(DIGEST_BEFORE)
+    path = before.rlike(ADDRESS_BEFORE) & ~before.rlike(QUERY_BEFORE)
+    parts = F.when(digest, _cut(text, f"{PLACEHOLDER}|{DIGEST}")).when(path, _cut(text, f"{PLACEHOLDER}|/")).when(
+        text.rlike(PLACEHOLDER), _cut(text, PLACEHOLDER)).otherwise(F.array(F.struct(F.lit(0).alias("at"), text.alias("text"))))
+    return F.filter(parts, lambda p: (F.length(p["text"]) >= c.window) & ~_matches(p["text"], ALLOW))
+
+
 def _entropy_spans(hits: Column, c: CharacterClass) -> Column:
     order = KINDS.index(c.kind)
+    parts = F.flatten(F.transform(
+        F.filter(hits, lambda h: ~_matches(h["before"], ALLOW_BEFORE)),
+        lambda h: F.transform(_parts(h, c), lambda p: F.struct((h["start"] + p["at"]).alias("start"), p["text"].alias("text")))))
     return F.flatten(F.transform(
-        F.filter(hits, lambda h: ~_allowed(h)),
-        lambda h: F.transform(_windows(h["hit"], c), lambda s: F.struct(
-            (h["start"] + s["from"]).alias("start"), F.lit(order).alias("order"), (h["start"] + s["to"]).alias("end"), F.lit(c.kind).alias("kind"))),
-    ))
+        parts, lambda p: F.transform(_windows(p["text"], c), lambda s: F.struct(
+            (p["start"] + s["from"]).alias("start"), F.lit(order).alias("order"), (p["start"] + s["to"]).alias("end"), F.lit(c.kind).alias("kind")))))
 
 
 def _uncovered(spans: Column, by: Column) -> Column:

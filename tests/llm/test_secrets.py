@@ -75,3 +75,17 @@ def test_no_python_and_no_shuffle(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.scan_secrets(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_allow_list_takes_out_only_what_it_names(spark):
+    key = "q7Zk2Xw9Lm4Rt8Vb1Ny6Hc3Jd5Pf0Gs+Ta-Ue_Wo"
+    hidden = [
+        f"example-app-id=1{key}", f"xxxxxxxx/1{key}", f"0123456789={key}", f"https://deploy:{key}@git.host/x", f"https://h.host/services/T0/B0/{key}",
+        f"https://h.host/f?sig={key}", f"https://h.host/f#{key}", "sha256:" + "ab12" * 16 + f"/{key}"]
+    plain = ["https://h.host/a1/b2/c3/d4/e5/f6/g7/h8/i9", "sha256:" + "0A1b2C3d" * 8, "sha512-" + "A" * 20, "abcdefghijklmnopqrstuvwxyz0123456789", "img;base64," + key]
+    df = spark.createDataFrame(list(enumerate(hidden + plain)), "doc_id long, text string")
+    got = [r.text for r in secrets.mask_secrets(df).orderBy("doc_id").collect()]
+    for text, masked in zip(hidden, got):
+        assert secrets.MASK in masked and key[8:-8] not in masked, text
+    assert got[len(hidden):] == plain
+    assert got[3] == f"https://deploy:{secrets.MASK}@git.host/x"
