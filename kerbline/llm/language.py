@@ -4,7 +4,9 @@ Evidence per language, as log probabilities that add up: how likely the visible
 trigram model, how often pages of the language declare the markup language that the page declares, how
 often their host ends in its address suffix, and a prior of the host.
 
-The trigram model is fitted on a bounded sample of documents with a known language. All other tables come
+Every language that a document with a text has is one that can be answered. The trigram model is fitted on
+a bounded sample of each, and mixed with what all have in common, so a language with few documents does not
+take the pages that no model knows. All other tables come
 from grouped sums over all pages of what the text alone says (soft counts): declared languages and
 suffixes with additive smoothing, hosts smoothed towards their domain, domains towards the whole. A page's
 own share is taken out of its host's and domain's sums, so it is not its own evidence. Sums per host are
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,10 @@ TEXT_WORTH = 40
 SMOOTH = 1.0
 HOST_WORTH = 20.0
 DOMAIN_WORTH = 20.0
+#: Share of all languages' trigrams together in the model of each.
+COMMON = 0.05
+#: Width of the range of id hashes that the sample is taken from, against the width that holds it on average.
+MARGIN = 2.0
 _FLOOR = -30.0
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", re.S | re.I)
@@ -57,9 +63,15 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and log probabilities (language, bucket); from the sample with the smallest id hashes."""
+    """Languages by name, and log probabilities (language, bucket); from the ``sample_rows`` of each language with the smallest id hashes."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id).alias("h"), F.col(id).alias("id"))
-    picked = known.select("h", "id").orderBy("h", "id").limit(sample_rows)
+    # One row per language. Few rows of a language are below its limit on hashes, so the window sees a bounded number.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"), F.min("h").alias("least"))
+    limits = F.broadcast(sizes.select("lang", "least", F.when(
+        F.col("size") > MARGIN * sample_rows, F.lit(-2.0 ** 63) + F.lit(2.0 ** 64 * MARGIN * sample_rows) / F.col("size")).alias("limit")))
+    near = known.select("lang", "h", "id").join(limits, "lang").where(
+        F.col("limit").isNull() | (F.col("h") < F.col("limit")) | (F.col("h") == F.col("least"))).select("lang", "h", "id").distinct()
+    picked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= sample_rows).drop("n")
     fields = T.StructType([T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,14 +82,18 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", id:
                 sums[name] = sums[name] + found if name in sums else found
         yield pd.DataFrame([(k, v.tobytes()) for k, v in sums.items()], columns=["lang", "counts"])
 
-    # At most sample_rows ids: a proven bound for the broadcast. The sample's texts meet in a few partitions,
+    # At most sample_rows ids of each language: a proven bound for the broadcast. The sample's texts meet in a few partitions,
     # so a few tables of counts come back, whatever number of files the documents lie in.
-    counted = known.join(F.broadcast(picked.distinct()), ["h", "id"]).select("lang", "text").repartition(8).mapInPandas(count, fields).toPandas()
+    counted = known.join(F.broadcast(picked), ["lang", "h", "id"]).select("lang", "text").repartition(8).mapInPandas(count, fields).toPandas()
     names = sorted(counted["lang"].unique())
-    table = np.full((len(names), BUCKETS), 0.1)
+    table = np.zeros((len(names), BUCKETS))
     for name, raw in zip(counted["lang"], counted["counts"]):
         table[names.index(name)] += np.frombuffer(raw)
-    return names, np.log(table / table.sum(axis=1, keepdims=True))
+    common = table.sum(axis=0) + 0.1
+    common /= common.sum()
+    own = table.sum(axis=1, keepdims=True)
+    share = np.where(own > 0, table / np.maximum(own, 1.0), common)
+    return names, np.log((1 - COMMON) * share + COMMON * common)
 
 
 def host_of(url: Column) -> Column:

@@ -81,3 +81,16 @@ def test_evidence_adds_up(spark, docs):
 def test_visible_text():
     assert "track" not in language.visible('<html><head><title>t</title></head><script>track(0);</script><p>a&amp;b</p><!-- c --></html>')
     assert language.visible("<p>one</p><p>two</p>").split() == ["one", "two"]
+
+
+def test_a_rare_language_is_a_label_and_takes_no_other_pages(spark, docs):
+    known = docs.select("doc_id", "text", "lang").orderBy("doc_id").limit(1500)
+    finnish = "Tervetuloa sivuillemme! Tarjoamme palveluita koko maassa, ja asiakkaat ovat meille t\u00e4rkeit\u00e4."
+    last = known.orderBy(F.xxhash64("doc_id").desc()).first().doc_id  # no sample of the whole reaches this id
+    corpus = known.withColumn("text", F.when(F.col("doc_id") == last, finnish).otherwise(F.col("text"))).withColumn(
+        "lang", F.when(F.col("doc_id") == last, "fi").otherwise(F.col("lang")))
+    names, model = language.fit_text_model(corpus, sample_rows=100)
+    assert "fi" in names and set(names) == {r.lang for r in corpus.select("lang").distinct().collect()}
+    said = lambda x: names[model[:, language.trigrams(x)].sum(axis=1).argmax()]
+    assert said("Asiakkaat ovat meille t\u00e4rkeit\u00e4") == "fi"
+    assert said("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059") != "fi" and said("\u017dlu\u0165ou\u010dk\u00fd k\u016f\u0148") != "fi"
