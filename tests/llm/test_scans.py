@@ -94,3 +94,14 @@ def test_a_rare_language_is_a_label_and_takes_no_other_pages(spark, docs):
     said = lambda x: names[model[:, language.trigrams(x)].sum(axis=1).argmax()]
     assert said("Asiakkaat ovat meille t\u00e4rkeit\u00e4") == "fi"
     assert said("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059") != "fi" and said("\u017dlu\u0165ou\u010dk\u00fd k\u016f\u0148") != "fi"
+
+
+def test_licences_torn_apart_and_whole_texts(spark):
+    mit, gpl = licenses.TEMPLATES["MIT-text"].split(), licenses.TEMPLATES["GPL-3-text"].split()
+    foreign = [f"w{i}" for i in range(40)]
+    short = licenses.TEMPLATES["MIT-permission"].split()
+    texts = [short[:30] + foreign + short[30:], mit[:80] + foreign + mit[80:], gpl[:2000] + foreign + gpl[2000:], gpl[:2000] + gpl[2300:], mit + foreign + mit]
+    got = [[(m.license, round(m.coverage, 2)) for m in found] for found in scan(spark, [" ".join(x) for x in texts])]
+    assert got[:3] == [[("MIT-permission", 1.0)], [("MIT-text", 1.0)], [("GPL-3-text", 1.0)]]
+    assert [x for x, _ in got[3]] == ["GPL-3-text"] and 0.9 < got[3][0][1] < 1
+    assert got[4] == [("MIT-text", 1.0)] * 2
