@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, checks, language, licenses, metric_topk, mixing, neardup, quality, secrets, sharding, toxicity
+from kerbline.llm import bpe, checks, language, licenses, merkle, metric_topk, mixing, neardup, quality, secrets, sharding, toxicity, url_labels, urls, whitening
 from kerbline.llm.common import table
 from kerbline.llm.registry import ORACLES, QUERIES, query
 
@@ -86,3 +86,19 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", *[F.round(F.col(f"p.{c}"), 6).alias(f"p_{c}") for c in (*toxicity.SEEDS, toxicity.LAST)],
         (F.col(f"p.{toxicity.LAST}") >= toxicity.THRESHOLD).alias("rejected"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_merkle_manifest", sql=checks.MERKLE)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_url_filter")
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"), url_labels.labelled_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("probability", 6).alias("probability"))

@@ -5,7 +5,7 @@ import pytest
 from kerbline.llm.queries import QUERIES
 from corpus_pipeline import STAGES, run
 
-PER_DOCUMENT = [n for n in QUERIES if n not in ("op3_language_id", "op8_metric_topk")]
+PER_DOCUMENT = [n for n in QUERIES if n not in ("op3_language_id", "op8_metric_topk", "op11_whitening", "op13_url_filter")]
 
 
 def rows(df):
@@ -34,6 +34,11 @@ def test_pages_keep_their_rows(spark, edge_dir):
     assert {r["host"] for r in got} == {"a.example.de", "", "b.example.de"}
 
 
+def test_addresses_keep_their_rows(spark, edge_dir):
+    got = QUERIES["op13_url_filter"](spark, edge_dir).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(["1", "2", "None", "3", "1", "4"])
+
+
 def test_pipeline_on_empty_tables(spark, empty_dir):
     assert run(spark, empty_dir).count() == 0
 
