@@ -22,8 +22,8 @@ bucket that many documents share without being linked, the comparing in blocks i
 demands it, and rows that no signature brings near another are out before sets are read.
 
 Null texts and texts without words have an empty set: size 0, linked with nothing, a component of their
-own. Rows that share an id are one node: what one of them is linked with, all are. Rows without an id have
-no component, link nothing and are kept. Ties don't arise.
+own. Rows that share an id are one node: what one of them is linked with, all are, whatever their texts. Rows
+without an id have no component, link nothing and are kept. Ties don't arise; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,8 +136,8 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame
     return pairs.join(l, "a").join(r, "b").where(sized).where(agreement("al", "bl") >= LEAST_AGREEMENT * COORDINATES).select("a", "b")
 
 
-def maybe_in(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
-    """Rows of ``df`` without most of those whose ``column`` is not among the wanted values.
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> tuple[DataFrame, Broadcast]:
+    """Rows of ``df`` without most of those whose ``column`` is not among the wanted values, and what to destroy afterwards.
 
     A bitmap of hashed values, ``FILTER_BITS`` long whatever the tables' sizes, goes to the tasks. A join
     decides afterwards; it then moves little more than what it keeps.
@@ -155,23 +156,23 @@ def maybe_in(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str)
         at = p.to_numpy() - 1
         return pd.Series((shipped.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    return df.where(marked_value(place(column)))
+    return df.where(marked_value(place(column))), shipped
 
 
-def full_sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, items) of the documents in ``needed`` (id). Texts travel, not hashed sets, which are larger."""
+def full_sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> tuple[DataFrame, Broadcast]:
+    """(id, items) of the documents in ``needed`` (id), and what to destroy afterwards. Texts travel, not hashed sets, which are larger."""
 
     @F.pandas_udf("binary")
     def full(column: pd.Series) -> pd.Series:
         return pd.Series([shingles(x).tobytes() for x in column], dtype=object)
 
     needed = cut_lineage(needed)
-    texts = maybe_in(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "id", needed, "id").join(needed, "id", "left_semi")
-    return texts.select("id", full("text").alias("items"))
+    likely, shipped = maybe_in(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "id", needed, "id")
+    return likely.join(needed, "id", "left_semi").select("id", full("text").alias("items")), shipped
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
+    """The pairs with 100 * intersection >= percent * union of their full sets; written."""
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -185,9 +186,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, id: str, text: str, percent: int)
         return pd.Series(out)
 
     needed = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = full_sets(docs, needed, id, text)
+    sets, shipped = full_sets(docs, needed, id, text)
     l, r = sets.withColumnsRenamed({"id": "a", "items": "ai"}), sets.withColumnsRenamed({"id": "b", "items": "bi"})
-    return pairs.join(l, "a").join(r, "b").where(linked("ai", "bi")).select("a", "b")
+    out = cut_lineage(pairs.join(l, "a").join(r, "b").where(linked("ai", "bi")).select("a", "b"))
+    shipped.destroy()
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,10 +352,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     hubs = stored(
         buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
         .where(F.col("hub") < F.col("last")).select("key", "hub", "size"))
-    shared = stored(maybe_in(buckets, "key", hubs, "key").join(hubs, "key"))  # only buckets with two members or more
+    likely, shipped = maybe_in(buckets, "key", hubs, "key")
+    shared = stored(likely.join(hubs, "key"))  # only buckets with two members or more
+    shipped.destroy()
     stars = shared.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     checked = cut_lineage(_agreeing(stars, marks, threshold))
-    links = cut_lineage(confirm(docs, checked, id, text, percent))
+    links = confirm(docs, checked, id, text, percent)
     labels = components(links)
 
     # A bucket of two was settled by its star.
@@ -361,20 +366,51 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     members = placed.join(mixed, "key", "left_semi").join(marks, "rep").select("key", "rep", "label", "n", "low")
     hopeful = stored(_hopeful(members, threshold))
     if not hopeful.isEmpty():
-        sets = full_sets(docs, hopeful.select(F.col("rep").alias("id")).distinct(), id, text).withColumnRenamed("id", "rep")
-        bridges = _bridges(hopeful.join(sets, "rep"), percent)
+        sets, shipped = full_sets(docs, hopeful.select(F.col("rep").alias("id")).distinct(), id, text)
+        bridges = stored(_bridges(hopeful.join(sets.withColumnRenamed("id", "rep"), "rep"), percent))
+        shipped.destroy()
         joined = components(bridges).select(F.col("v").alias("label"), F.col("label").alias("next"))
         alone = joined.join(labels.select(F.col("v").alias("label")), "label", "left_anti").select(F.col("label").alias("v"), F.col("next").alias("label"))
         labels = labels.join(joined, "label", "left").select("v", F.coalesce("next", "label").alias("label")).unionAll(alone)
     classes = reps.select("digest", F.col("rep").alias("v")).join(labels, "v", "left").select("digest", F.coalesce("label", "v").alias("label"))
+    classes = _one_per_id(sketches, classes)
     out = sketches.select("id", "n", "digest").join(classes, "digest", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
+def _one_per_id(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` (digest, label) with the classes joined that different texts of one id lie in."""
+    sets = sketches.where((F.col("n") > 0) & F.col("id").isNotNull()).select("id", "digest")
+    several = cut_lineage(sets.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where(F.col("lo") < F.col("hi")).select("id"))
+    if several.isEmpty():
+        return classes
+    classes = stored(classes)
+    held = sets.join(several, "id", "left_semi").distinct().join(classes, "digest").select("id", "label")
+    least = held.groupBy("id").agg(F.min("label").alias("a"))
+    joined = components(held.join(least, "id").select("a", F.col("label").alias("b"))).select(F.col("v").alias("label"), F.col("label").alias("next"))
+    return classes.join(joined, "label", "left").select("digest", F.coalesce("next", "label").alias("label"))
+
+
+def _row_key(docs: DataFrame, id: str, text: str) -> Column:
+    """One value per id and text, in the order of the id."""
+    h = F.xxhash64(F.col(text))
+    if isinstance(docs.schema[id].dataType, T.IntegralType):
+        return F.col(id).cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + F.shiftrightunsigned(h, 2).cast("decimal(19,0)")
+    return F.concat(F.col(id).cast("string"), F.lit("\0"), F.hex(h))
+
+
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """One row of each component, with its columns; rows without an id stay."""
-    gone = near_duplicates(docs, id, text, percent).where(~F.col("kept")).select(id).distinct()
-    no = fresh(docs, "__no")
-    rest = docs.join(gone, id, "left_anti").withColumn(no, F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(F.col(text)))))
-    return rest.where((F.col(no) == 1) | F.col(id).isNull()).drop(no)
+    """One row of each group of near-duplicate texts, with its columns; rows without an id stay.
+
+    What goes has a near duplicate or a copy that stays, or one linked with it through others. Different
+    texts under one id are documents of their own; rows equal in id and text are one.
+    """
+    known, key = docs.where(F.col(id).isNotNull()), fresh(docs, "__key")
+    texts = known.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h")).groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # Only where ids are shared by different texts do rows need a longer key than the id.
+    own = F.col(id) if texts.where(F.col("lo") < F.col("hi")).isEmpty() else _row_key(docs, id, text)
+    keyed = known.withColumn(key, own)
+    gone = near_duplicates(keyed, key, text, percent).where(~F.col("kept")).select(key).distinct()
+    rest = keyed.join(gone, key, "left_anti").dropDuplicates([key]).drop(key)
+    return rest.unionByName(docs.where(F.col(id).isNull()))

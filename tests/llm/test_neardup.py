@@ -100,3 +100,16 @@ def test_signatures_estimate_similarity():
         y = neardup.shingles(" ".join(both) + " " + " ".join(str(r.random()) for _ in range(1000 - len(both))))
         truth = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
         assert abs((neardup.signature(x) == neardup.signature(y)).mean() - truth) < 0.15
+
+
+def test_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{n}{i}" for i in range(30)) for n in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, c)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 7: 3, 9: 3, 11: 11}
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [(3, "a"), (7, "b"), (11, "c")]
+    kept = neardup.keep_one(spark.createDataFrame([(5, a), (5, b), (5, b), (None, a), (None, a), (6, ""), (6, None)], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept), key=repr) == sorted([(5, a), (5, b), (0, a), (0, a), (6, ""), (6, None)], key=repr)
+    kept = neardup.keep_one(spark.createDataFrame([("x", a), ("x", b), ("y", a), ("z", a + " more")], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [("x", "a"), ("x", "b")]
