@@ -9,7 +9,7 @@ and the search goes on with the rest. The list becomes one CASE expression: the
 that holds, 0 if none does. Thresholds have four significant digits, so rules can be read.
 
 The sample: the ``SAMPLE_ROWS`` labelled rows with the smallest hash of the id (of repeated ids the larger
-label counts, null labels don't). Null texts have no words. A table without labels gives no rules, and
+label counts, null labels don't; of an id's texts the one with the smallest hash). Null texts have no words. A table without labels gives no rules, and
 only the fixed rules decide. Repeated rows each get their own result; a line without a word is never a
 repeated line.
 """
@@ -181,6 +181,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     picked = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     # At most sample_rows ids: a proven bound for the broadcast.
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id")
+    # One text per id, so rows are bounded as ids are.
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("r")).select("__id", "__y", F.col("r.__text").alias("__text"))
     measured = rows.select("__id", "__y", F.xxhash64("__text").alias("__h"), measures("__text").alias("__m"))
     sample = measured.select("__id", "__y", "__h", *[c.alias(k) for k, c in features("__m").items()]).toPandas()
     if sample.empty:

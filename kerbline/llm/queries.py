@@ -81,10 +81,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_toxicity_chain")
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), into="p")
     return scored.select(
-        "doc_id", *[F.round(F.col(f"p.{c}"), 6).alias(f"p_{c}") for c in (*toxicity.SEEDS, toxicity.LAST)],
+        "doc_id", *[F.round(F.col(f"p.{c}"), 6).alias(f"p_{c}") for c in (*toxicity.CATEGORIES, toxicity.LAST)],
         (F.col(f"p.{toxicity.LAST}") >= toxicity.THRESHOLD).alias("rejected"))
 
 
