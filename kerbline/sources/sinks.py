@@ -50,9 +50,10 @@ def current_alerts(log: DataFrame) -> DataFrame:
     return newest.select("alert_id", "s.*")
 
 
-def _newest_compaction(spark: SparkSession, path: str) -> int | None:
+def _newest_compaction(spark: SparkSession, path: str, before: int | None = None) -> int | None:
     try:
-        found = spark.read.parquet(f"{path}/compacted").agg(F.max("upto").alias("upto")).first()
+        tables = spark.read.parquet(f"{path}/compacted")
+        found = (tables if before is None else tables.where(F.col("upto") < before)).agg(F.max("upto").alias("upto")).first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -60,10 +61,20 @@ def _newest_compaction(spark: SparkSession, path: str) -> int | None:
     return found["upto"]
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The alert table: the newest compaction and the batches after it, folded."""
-    upto = _newest_compaction(spark, path)
-    log = read_log(spark, path)
+def read_alerts(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The alert table: the newest compaction and the batches after it, folded.
+
+    With ``before``, the table as it was before that batch; None if there was none.
+    """
+    upto = _newest_compaction(spark, path, before)
+    try:
+        log = read_log(spark, path)
+    except AnalysisException as e:
+        if before is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if before is not None:
+        log = log.where(F.col("batch_id") < before)
     if upto is None:
         return current_alerts(log)
     base = spark.read.parquet(f"{path}/compacted/upto={upto}").select(*log.columns)

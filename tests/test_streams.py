@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import alerts, frames, tracks
 from kerbline.sources import sinks
-from kerbline.streaming import pipeline, stateful
+from kerbline.streaming import pipeline, processors, stateful
 
 SIGHT = ("seq bigint, track_id string, entry_id string, camera_id string, confidence double, matched_via string, repaired boolean, source string, "
          "priority string, recorded_ms bigint, pipeline_latency_ms bigint")
@@ -145,3 +145,140 @@ def test_a_feed_that_ends_leaves_no_track_open(spark, folder):
     for _ in range(2):  # the second run finds everything done
         got = stateful.tracks_to_end(stream, f"{folder}/run")
         assert sorted((r.camera_id, r.tracker_id, r.started_ms, r.ended_ms, r.frame_count) for r in got.collect()) == want
+
+
+def test_expired_alerts_are_read_from_the_table(spark, folder):
+    """Whatever the time to live and however the sightings are cut, the table is that of the batch fold."""
+    rng = random.Random(5)
+    rows = [sight(i, rng.choice("abcd"), rng.choice([0.5, 0.7, 0.9]), rng.choice(["plate", "appearance"])) for i in range(1, 60)] + [sight(90, None, 0.4), sight(91, None, 0.4)]
+    want = sorted(map(repr, alerts.fold_alerts(spark.createDataFrame(rows, SIGHT)).drop("alert_id").collect()))
+    for name, ttl, cuts in (("long", 3_600_000, [20, 21, 40]), ("none", 1, [5, 30, 31, 50]), ("one", 1, [])):
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        stream = landed(spark, f"{folder}/{name}", parts, SIGHT)
+        for _ in range(2):  # the second run finds everything done
+            pipeline.alert_stream(stream, out=f"{folder}/{name}/alerts", checkpoint=f"{folder}/{name}/cp", ttl_ms=ttl, available_now=True).awaitTermination()
+        log = sinks.read_log(spark, f"{folder}/{name}/alerts")
+        table = sinks.read_alerts(spark, f"{folder}/{name}/alerts")
+        cols = alerts.fold_alerts(spark.createDataFrame(rows, SIGHT)).drop("alert_id").columns
+        assert sorted(map(repr, table.select(*cols).collect())) == want
+        assert log.count() == log.select("batch_id", "alert_id").distinct().count()
+        new = [r.alert_id for r in log.where("change = 'alert'").collect()]
+        assert len(new) == len(set(new)) == 6  # every alert is new once
+
+
+def feed(n, seed):
+    """Frames of two cameras, with a second connection each, breaks, and when each frame lands."""
+    rng, rows, pts = random.Random(seed), [], {}
+    for seq in range(n):
+        cam = f"cam{seq % 2}"
+        conn = "c1" if seq < n // 2 else "c2"
+        pts[cam, conn] = 0.0 if rng.random() < 0.02 else pts.get((cam, conn), 0.0) + rng.choice([20.0, 60.0, 95.0, 150.0, 310.0])
+        arrival = 1e6 + seq * 70.0
+        rows.append((cam, conn, seq, pts[cam, conn], arrival, rng.random() < 0.01, False, arrival + (rng.choice([0, 900, 1900]) if rng.random() < 0.3 else 0), False))
+    return sorted(rows, key=lambda r: (r[7], r[2]))
+
+
+LANDED = FRAME + ", landed double, closes boolean"
+
+
+def fed(spark, folder, rows, cuts, rule):
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    stream = landed(spark, folder, parts, LANDED)
+    pipeline.to_end(stream, lambda s, at: pipeline.feed_stream(s, rule, out=folder, checkpoint=at, available_now=True), folder, "camera", {"landed": F.lit(1e300), "closes": F.lit(True)})
+    read = lambda log, *c: sorted(map(repr, map(tuple, sinks.read_log(spark, f"{folder}/{log}").select(*c).collect())))
+    return (read("frames", "camera_id", "connection_id", "segment", "seq", "pts_ms", "absolute_ms", "anchor_settled", "emitted_at_seq"),
+            read("events", "kind", "camera_id", "connection_id", "segment", "seq"), read("late", "camera_id", "connection_id", "seq"))
+
+
+def test_a_feed_out_of_order_equals_batch_however_it_is_cut(spark, folder):
+    rows, rule = feed(240, 1), processors.Sampling(100.0, settle_ms=900, burst_guard_ms=300, delay_ms=2_000)
+    got = [fed(spark, f"{folder}/{i}", rows, cuts, rule) for i, cuts in enumerate(([], [7, 8, 120], list(range(30, 240, 60))))]
+    assert got[0] == got[1] == got[2] and not got[0][2]
+    segs = frames.mark_segments(spark.createDataFrame([r[:7] for r in rows], FRAME), chunk_seq=40)
+    kept = frames.sample_on_grid(segs, 100.0, chunk_seq=40).select("camera_id", "connection_id", "segment", "seq", "emitted_at_seq").collect()
+    read = sinks.read_log(spark, f"{folder}/0/frames").select("camera_id", "connection_id", "segment", "seq", "emitted_at_seq").collect()
+    assert sorted(map(tuple, read)) == sorted(map(tuple, kept)) and len(kept) > 100
+    loops = sorted((r.camera_id, r.seq, r.payload) for r in frames.loop_events(segs).collect())
+    events = sinks.read_log(spark, f"{folder}/0/events").collect()
+    assert sorted((r.camera_id, r.seq, r.payload) for r in events if r.kind == "camera.loop") == loops and loops
+    assert sorted((r.camera_id, r.seq) for r in events if r.kind == "camera.reconnect") == [("cam0", 120), ("cam1", 121)]
+
+
+def test_late_frames_are_set_aside_however_the_feed_is_cut(spark, folder):
+    rows = feed(160, 2)
+    rows = sorted([(*r[:7], r[4] + 6_000.0, False) if r[2] in (20, 21, 30) else r for r in rows], key=lambda r: (r[7], r[2]))
+    rule = processors.Sampling(100.0, settle_ms=900, burst_guard_ms=300, delay_ms=2_000)
+    a, b = (fed(spark, f"{folder}/{i}", rows, cuts, rule) for i, cuts in enumerate(([], [40, 70, 100])))
+    assert a == b and len(a[2]) == 3
+    c = fed(spark, f"{folder}/c", [r for r in rows if r[2] not in (20, 21, 30)], [50, 60], rule)
+    assert c[:2] == a[:2]
+
+
+def test_a_connection_left_behind_is_finished(spark):
+    """Nothing of it stays in the state once its camera has gone on for long enough; a camera that is closed has none."""
+    walk = processors.Walk()
+    rule = processors.Sampling(100.0, delay_ms=500)
+    assert walk.lands([1, 0.0, 1000.0, False], rule) and walk.lands([3, 40.0, 1900.0, False], rule)
+    assert [r[0] for r in walk.due_rows()] == [1]
+    assert not walk.lands([2, 20.0, 1399.0, False], rule) and walk.lands([2, 20.0, 1400.0, False], rule)
+    assert not walk.lands([1, 0.0, 1900.0, False], rule)  # its place has been taken
+    assert [r[0] for r in walk.due_rows(everything=True)] == [2, 3]
+
+
+def test_live_signatures_equal_the_cadence(spark, folder):
+    schema = "camera_id string, seq bigint, recorded_ms bigint, tracker_id bigint, cls string, starts_segment boolean, embedding array<double>, area double"
+    rng, rows, now = random.Random(3), [], 0
+    for seq in range(300):
+        now += rng.choice([100, 300, 900, 2500])
+        for tracker in rng.sample(range(3), rng.randint(0, 2)) or [None]:
+            vector = None if tracker is None or rng.random() < 0.1 else [rng.random(), rng.random(), 0.5]
+            rows.append((f"cam{seq % 2}", seq, now, tracker, "person" if tracker == 2 else "car", False, vector, None if tracker is None else float(rng.randrange(40))))
+    cuts = [i for i, r in enumerate(rows) if r[1] in (80, 81, 200) and rows[i - 1][1] != r[1]]
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    stream = landed(spark, folder, parts, schema)
+    closing = {"seq": F.lit((1 << 63) - 1), "recorded_ms": F.lit(0), "starts_segment": F.lit(True)}
+    rule = processors.Identification(max_crops=3)
+    pipeline.to_end(stream, lambda s, at: pipeline.signature_stream(s, rule, out=folder, checkpoint=at, available_now=True), folder, "tracks", closing)
+    df = spark.createDataFrame(rows, schema)
+    shown = df.groupBy("camera_id", F.col("seq").alias("frame_seq")).agg(F.min("recorded_ms").alias("recorded_ms"))
+    sessions = tracks.track_sessions(df, shown, chunk_ms=20_000)
+    built = tracks.build_tracks(sessions)
+    want = tracks.signature_moments(sessions, built).select("camera_id", "tracker_id", "frames_seen", "recorded_ms", "provisional").collect()
+    got = sinks.read_log(spark, f"{folder}/signatures").collect()
+    assert sorted((r.camera_id, r.tracker_id, r.frames_seen, r.recorded_ms, r.provisional) for r in got) == sorted(map(tuple, want)) and any(r.provisional for r in got)
+    closed = sinks.read_log(spark, f"{folder}/tracks").select("camera_id", "tracker_id", "cls", "started_ms", "ended_ms", "frame_count").collect()
+    assert sorted(map(tuple, closed)) == sorted(map(tuple, built.select("camera_id", "tracker_id", "cls", "started_ms", "ended_ms", "frame_count").collect()))
+    per_track = {}
+    for r in sessions.collect():
+        per_track.setdefault((r.camera_id, r.tracker_id, r.session), []).append(r)
+    sums = {}
+    for rs in per_track.values():
+        rs.sort(key=lambda r: r.seq)
+        vs = [[x / sum(y * y for y in r.embedding) ** 0.5 for x in r.embedding] for r in rs if r.embedding]
+        mean = [sum(c) / len(vs) for c in zip(*vs)] if vs else None
+        mean = [x / sum(y * y for y in mean) ** 0.5 for x in mean] if mean else None
+        sums[rs[0].camera_id, rs[0].tracker_id, rs[0].recorded_ms] = (mean, [r.seq for r in sorted(rs, key=lambda r: (-r.area, r.seq))[:3]])
+    for r in got:
+        if not r.provisional:
+            mean, crops = sums[r.camera_id, r.tracker_id, r.started_ms]
+            assert r.crops == crops and (r.embedding is None) == (mean is None)
+            assert mean is None or max(abs(a - b) for a, b in zip(mean, r.embedding)) < 1e-12
+
+
+def test_a_silent_camera_is_closed_by_its_timer(spark, folder):
+    """Timers are on by default; here the wall clock is short."""
+    import time
+
+    schema = "camera_id string, seq bigint, recorded_ms bigint, tracker_id bigint, cls string, starts_segment boolean"
+    spark.createDataFrame([("silent", 1, 0, 7, "car", False), ("silent", 2, 40, 7, "car", False)], schema).coalesce(1).write.parquet(f"{folder}/in/part=0")
+    stream = spark.readStream.schema(schema + ", part int").parquet(f"{folder}/in").drop("part")
+    q = pipeline.signature_stream(stream, processors.Identification(silent_after_ms=1_500), out=folder, checkpoint=f"{folder}/cp")
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            done = sinks.read_log(spark, f"{folder}/tracks").collect() if q.lastProgress else []
+            if done:
+                break
+    finally:
+        q.stop()
+    assert [(r.tracker_id, r.started_ms, r.ended_ms, r.frame_count) for r in done] == [(7, 0, 40, 2)]
