@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -375,29 +375,22 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         a = json.loads(self.alert.get()[0]) if self.alert.exists() else None
         change = "alert" if a is None else "alert.updated"
-        for r in _taken(rows, ["seq"]).to_dict("records"):
+        for r in sorted(rows, key=lambda r: r["seq"]):
             if a is None:
-                a = {"first_order": int(r["seq"]), **{c: _plain(r.get(c)) for c in FIRST}, "confidence": float(r["confidence"]), "matched_via": r["matched_via"],
-                     "repaired": bool(r["repaired"]), "last_seen_ms": None, "last_order": int(r["seq"]), "sightings": 0}
+                a = {"first_order": r["seq"], **{c: r[c] for c in FIRST}, "confidence": r["confidence"], "matched_via": r["matched_via"],
+                     "repaired": r["repaired"], "last_seen_ms": None, "last_order": r["seq"], "sightings": 0}
             elif r["confidence"] > a["confidence"]:
-                a.update(confidence=float(r["confidence"]), matched_via=r["matched_via"], repaired=bool(r["repaired"]))
+                a.update(confidence=r["confidence"], matched_via=r["matched_via"], repaired=r["repaired"])
             a["sightings"] += 1
             if a["sightings"] > 1:
-                a.update(last_seen_ms=_plain(r["recorded_ms"]), last_order=int(r["seq"]))
+                a.update(last_seen_ms=r["recorded_ms"], last_order=r["seq"])
         self.alert.update((json.dumps(a),))
-        track, entry, solo = (_plain(k) for k in key)
-        yield pd.DataFrame([(track, entry, solo, *[a[c] for c in _KEPT], change)], columns=_ALERT_COLUMNS).astype({"last_seen_ms": "Int64"})
+        yield Row(**dict(zip(_ALERT_COLUMNS, (*key, *[a[c] for c in _KEPT], change))))
 
     def close(self) -> None:
         pass
 
 
-def _plain(x):
-    if x is None or (not isinstance(x, str) and pd.isna(x)):
-        return None
-    return x.item() if hasattr(x, "item") else x
-
-
 def live_alerts(sightings: DataFrame, order: str = "seq", ttl_ms: int = ALERT_TTL_MS) -> DataFrame:
     """New and updated alerts per micro-batch, with state that expires. Rows of one alert come in order of ``order``.
 
@@ -407,7 +400,7 @@ def live_alerts(sightings: DataFrame, order: str = "seq", ttl_ms: int = ALERT_TT
     keyless = F.col("track_id").isNull() | F.col("entry_id").isNull()
     # A null in the key would cut its rows into groups of one.
     rows = sightings.withColumns({"seq": F.col(order).cast("bigint"), "solo": F.when(keyless, F.col(order).cast("string")).otherwise("")})
-    out = rows.groupBy(*KEY, "solo").transformWithStateInPandas(AlertProcessor(ttl_ms), ALERT, "Update", "ProcessingTime")
+    out = rows.groupBy(*KEY, "solo").transformWithState(AlertProcessor(ttl_ms), ALERT, "Update", "ProcessingTime")
     return out.withColumn("alert_id", alert_id(F.col("track_id"), F.col("entry_id"), F.col("solo"))).drop("solo")
 
 
