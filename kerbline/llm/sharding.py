@@ -11,8 +11,9 @@ one row per probe, whatever the table's size.
 Then the rows are exchanged once, by shard and by a hash that splits large shards into pieces, sorted in
 their piece and numbered; counts per piece carry the numbers on, so slots have no gaps.
 
-Null texts count as empty (size 1). Rows equal in id and text have one key and stay in one shard. An
-empty table gives no rows.
+Null texts count as empty (size 1). Rows equal in id and text are parted by a running
+number, so one row may be repeated as often as it likes. An empty table gives no rows; further columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PROBES = 64
 TOLERANCE = 0.001
 #: A shard of more rows is sorted in several pieces.
 PIECE_ROWS = 2_000_000
+#: Bits of a key that part rows equal in id and text.
+TIE_BITS = 20
 _TOP = 1 << 63
 
 
@@ -68,11 +71,17 @@ class Search:
 
 
 def document_keys(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, size, crc, h, g): bytes and one, checksum, hashes of the text and of the id, below 2**63."""
+    """(id, size, crc, h, g): bytes and one, checksum, hashes of the text and of the id, below 2**63.
+
+    The last ``TIE_BITS`` of ``g`` number the row, so that rows equal in id and text can be parted.
+    """
     t = whole(text)
+    ties = (1 << TIE_BITS) - 1
+    named = F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(id)), 1).bitwiseAND(~ties)
+    row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(ties)
     return docs.select(
         F.col(id).alias("id"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(t).alias("crc"),
-        F.shiftrightunsigned(F.xxhash64(t), 1).alias("h"), F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(id)), 1).alias("g"))
+        F.shiftrightunsigned(F.xxhash64(t), 1).alias("h"), named.bitwiseOR(row).alias("g"))
 
 
 def splitters(keys: DataFrame, total: int, shards: int, probes: int = PROBES, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:

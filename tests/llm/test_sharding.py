@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -45,6 +46,13 @@ def test_a_text_with_most_of_the_rows_is_split(spark):
     assert sum(got[i] != got[i + 1] for i in range(0, 1000, 2)) <= 7
 
 
+def test_one_row_repeated_for_half_the_table(spark):
+    rows = [(7, "again " * 8)] * 1000 + [(10_000 + i, f"text {i} " * 6) for i in range(1000)]
+    got = shards_of(spark, rows)
+    gap, total = spread(got)
+    assert gap <= 0.002 * total / 8 + 2 * 61 and min(Counter(r.shard for r in got).values()) > 100
+
+
 def test_few_repeated_and_missing_rows(spark):
     shards_of(spark, [(1, None), (1, None), (None, ""), (2, "x" * 100_000), (3, "a"), (3, "a")])
     shards_of(spark, [(1, "one")])
