@@ -3,7 +3,7 @@
 Each stage is written as Parquet in the shared folder and read again, so a stage starts from files and a
 lost executor never reaches back into an earlier stage. Null and empty texts pass every stage: they are
 not toxic, have no shingles, hold no secrets, weigh nothing in the mix (size 0, so they end there) and
-have no tokens. Rows that share a doc_id: near-duplicate removal keeps one. Further columns pass through.
+have no tokens. Different texts under one doc_id are documents of their own, rows equal in id and text are one. Further columns pass through.
 """
 
 from __future__ import annotations
