@@ -273,7 +273,7 @@ def fit(
     sample = labelled_sample(docs, labels, id, text, label, lang, sample_rows)
     if sample.agg(F.count_distinct("y")).first()[0] < 2:
         return []
-    marked = _marked(sample, category_words(sample))
+    marked = stored(_marked(sample, category_words(sample)))
     chosen = telling_words(marked)
     known = _kept_words(marked, {w for words in chosen.values() for w in words}).select("id", "y", "fold", "marks", "kept").orderBy("id").collect()
     shared: dict[bytes, bytes] = {}
