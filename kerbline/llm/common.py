@@ -12,6 +12,8 @@ from kerbline.session import checkpoint_dir, prepare
 #: Rows that go to a Python worker at a time. Texts are long and lists of tokens longer: Spark's own 10,000
 #: rows are tens of megabytes several times over.
 BATCH_ROWS = 1000
+#: And bytes of them, so that a run of very long texts makes smaller batches.
+BATCH_BYTES = 4 << 20
 
 #: The characters that separate words, everywhere in this package.
 BLANKS = r"\x20\x09-\x0D"
@@ -21,6 +23,7 @@ WORD = rf"[^{BLANKS}]+"
 def prepare_texts(spark: SparkSession) -> SparkSession:
     """The library's session settings, and small Arrow batches."""
     prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
