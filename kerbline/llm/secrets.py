@@ -9,8 +9,8 @@ counts. Entropy is log2(W) - sum / W. Sums are kept in whole units of 2**-20, so
 builds up along a long candidate. Windows that reach the class's threshold and overlap are one span.
 
 The allow-list takes out what it names and nothing beside it. Placeholders and alphabets, and a digest
-after its name, are cut out of a candidate; in the path of a web address candidates end at slashes, so
-names of folders are not glued together. What is left on either side is searched on its own, unless it is
+after its name, are cut out of a candidate; in the host and path of a web address, which is found first and
+in whole, candidates end at slashes, so names of folders are not glued together wherever in it they stand. What is left on either side is searched on its own, unless it is
 a UUID or a run of letters or digits only. User info, path segments and query values of addresses are
 candidates like others. Only the payload of a data URI is passed over whole. Spans that a fixed format
 already covers are not listed again; fixed formats are never suppressed.
@@ -67,14 +67,15 @@ ALLOW = (
     r"^[0-9+/_=-]*$",
     PLACEHOLDER,
 )
-#: Nor is a candidate after a text that one of these matches; the last CONTEXT characters before it are looked at.
+#: Nor is a candidate after a text that one of these matches.
 ALLOW_BEFORE = (r"(?i);base64,$",)
 #: After this the candidate's beginning is a digest, in hexadecimal or base64.
 DIGEST_BEFORE = r"(?i)sha(1|256|384|512)[-:]$"
 DIGEST = r"^(?:[0-9a-fA-F]{20,128}+(?![0-9A-Za-z+])|[A-Za-z0-9+/]{20,86}={0,2})"
-#: After the first a candidate is part of a web address, after the second of its query or fragment.
-ADDRESS_BEFORE, QUERY_BEFORE = r"(?i)[a-z]://\S*$", r"(?i)[a-z]://\S*[?#]\S*$"
-CONTEXT = 64
+#: Characters before a candidate that are kept; the patterns above that look at them are shorter.
+BEFORE = 16
+#: A web address: a scheme's last letter, and all up to the next blank. Its path ends where the second one's match does.
+ADDRESS, PATH = r"[A-Za-z]://\S*", r"^[A-Za-z]://[^?#]*"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -83,7 +84,7 @@ def _pieces(text: Column, pattern: str) -> Column:
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, hit: F.struct(
             F.length(gap).cast("long").alias("gap"), F.coalesce(F.length(hit), F.lit(0)).cast("long").alias("len"),
-            hit.alias("hit"), F.right(gap, F.lit(CONTEXT)).alias("before")),
+            hit.alias("hit"), F.right(gap, F.lit(BEFORE)).alias("before")),
     )
     return F.when(text.rlike(pattern), cut).otherwise(F.array().cast("array<struct<gap:bigint,len:bigint,hit:string,before:string>>"))
 
@@ -201,21 +202,42 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.aggregate(gaps, zero, add, lambda s: s["out"])
 
 
-def _parts(hit: Column, c: CharacterClass) -> Column:
+def _addresses(hits: Column) -> Column:
+    """(start, path_end, end) of the web addresses of a text, which have no blanks and so don't meet."""
+    return F.transform(hits, lambda h: F.struct(
+        h["start"].alias("start"), (h["start"] + F.length(F.regexp_extract(h["hit"], PATH, 0))).alias("path_end"), h["end"].alias("end")))
+
+
+def _in_path(addresses: Column, at: Column) -> Column:
+    """Whether a place is in the host or path of an address: the last one that starts before it, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(addresses) + F.lit(1))).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        before = F.get(addresses, middle)["start"] + 1 < at
+        open_ = s["lo"] < s["hi"]
+        return F.struct(
+            F.when(open_ & before, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~before, middle).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(addresses).alias("hi"))
+    last = F.aggregate(steps, start, halve, lambda s: F.get(addresses, s["lo"] - 1))
+    return F.coalesce(at <= F.least(last["path_end"], last["end"] - 1), F.lit(False))
+
+
+def _parts(hit: Column, addresses: Column, c: CharacterClass) -> Column:
     """(at, text) of the parts of a candidate that are searched."""
-    text, before = hit["hit"], hit["before"]
-    digest = before.rlike(DIGEST_BEFORE)
-    path = before.rlike(ADDRESS_BEFORE) & ~before.rlike(QUERY_BEFORE)
+    text, digest = hit["hit"], hit["before"].rlike(DIGEST_BEFORE)
+    path = _in_path(addresses, hit["start"])
     parts = F.when(digest, _cut(text, f"{PLACEHOLDER}|{DIGEST}")).when(path, _cut(text, f"{PLACEHOLDER}|/")).when(
         text.rlike(PLACEHOLDER), _cut(text, PLACEHOLDER)).otherwise(F.array(F.struct(F.lit(0).alias("at"), text.alias("text"))))
     return F.filter(parts, lambda p: (F.length(p["text"]) >= c.window) & ~_matches(p["text"], ALLOW))
 
 
-def _entropy_spans(hits: Column, c: CharacterClass) -> Column:
+def _entropy_spans(hits: Column, addresses: Column, c: CharacterClass) -> Column:
     order = KINDS.index(c.kind)
     parts = F.flatten(F.transform(
         F.filter(hits, lambda h: ~_matches(h["before"], ALLOW_BEFORE)),
-        lambda h: F.transform(_parts(h, c), lambda p: F.struct((h["start"] + p["at"]).alias("start"), p["text"].alias("text")))))
+        lambda h: F.transform(_parts(h, addresses, c), lambda p: F.struct((h["start"] + p["at"]).alias("start"), p["text"].alias("text")))))
     return F.flatten(F.transform(
         parts, lambda p: F.transform(_windows(p["text"], c), lambda s: F.struct(
             (p["start"] + s["from"]).alias("start"), F.lit(order).alias("order"), (p["start"] + s["to"]).alias("end"), F.lit(c.kind).alias("kind")))))
@@ -229,11 +251,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", bas
     """Add ``into``: array of (start, order, end, kind), sorted; ``base_into`` gets the fixed formats only."""
     names = {}
     work = docs
-    for name in ("assign", "access", "hex", *[c.kind for c in CLASSES]):
+    for name in ("assign", "access", "hex", "address", *[c.kind for c in CLASSES]):
         names[name] = fresh(work, f"__{name}")
-        pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}.get(name) or next(c.pattern for c in CLASSES if c.kind == name)
+        pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "address": ADDRESS}.get(name) or next(c.pattern for c in CLASSES if c.kind == name)
         work = work.withColumn(names[name], _pieces(whole(text), pattern))
     work = work.withColumns({n: _hits(F.col(n)) for n in names.values()})
+    work = work.withColumn(names["address"], _addresses(F.col(names["address"])))
     assign = F.filter(F.col(names["assign"]), lambda h: F.length(F.regexp_extract(h["hit"], ASSIGN, 2)) >= ASSIGN_VALUE_MIN)
     base = base_into or fresh(work, "__base")
     work = work.withColumn(base, F.array_sort(F.concat(
@@ -242,7 +265,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", bas
     steps = []
     for c in CLASSES:
         steps.append(fresh(work, f"__with_{c.kind}"))
-        more = _entropy_spans(F.col(names[c.kind]), c)
+        more = _entropy_spans(F.col(names[c.kind]), F.col(names["address"]), c)
         work = work.withColumn(steps[-1], bind(found, lambda known: F.concat(known, _uncovered(more, known))))
         found = F.col(steps[-1])
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (into, base_into)]

@@ -18,7 +18,7 @@ def brute(text, c):
     """Union of windows at or over the threshold, counted anew for each window."""
     out = []
     for m in re.finditer(c.pattern, text):
-        if any(re.search(p, m[0]) for p in secrets.ALLOW) or any(re.search(p, text[max(0, m.start() - secrets.CONTEXT):m.start()]) for p in secrets.ALLOW_BEFORE):
+        if any(re.search(p, m[0]) for p in secrets.ALLOW) or any(re.search(p, text[max(0, m.start() - secrets.BEFORE):m.start()]) for p in secrets.ALLOW_BEFORE):
             continue
         for i in range(len(m[0]) - c.window + 1):
             n = Counter(m[0][i:i + c.window]).values()
@@ -89,3 +89,20 @@ def test_the_allow_list_takes_out_only_what_it_names(spark):
         assert secrets.MASK in masked and key[8:-8] not in masked, text
     assert got[len(hidden):] == plain
     assert got[3] == f"https://deploy:{secrets.MASK}@git.host/x"
+
+
+def test_an_address_is_known_however_long_it_is(spark):
+    folders = "Reports2019/QuickB3Summary/TeamJ7Budget"
+    key = "k9Zq8Xw7Vu6Ts5Rp4Qn3Lm2"
+    texts = [
+        f"https://ex.org/{folders}", f"https://ex.org/{'a.b/' * 40}{folders}", f"https://ex.org/{key}.x/{folders}", f"see https://localhost/{folders}",
+        f"https://ex.org/?q=1;{'c.' * 50}{folders}", f"https://ex.org/ {folders}", f"https://ex.org/{folders}?key={key}", folders,
+        " ".join(f"https://ex.org/{i}/{folders}" for i in range(300)) + f" {folders}", f"https://ex.org/a {folders} https://ex.org/b",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[r.text[s.start:s.end] for s in r.secrets if s.kind == "entropy_base64"]
+           for r in secrets.scan_secrets(df).orderBy("doc_id").collect()]
+    # No span in paths, whatever stands before; one elsewhere, and the key in each place where it stands.
+    alone = got[7]
+    assert len(alone) == 1
+    assert got == [[], [], [key], [], alone, alone, [got[6][0]], alone, alone, alone] and key in got[6][0]
