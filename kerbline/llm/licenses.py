@@ -7,14 +7,15 @@ up. Hits of one template whose implied beginnings lie within the band of each ot
 
 A candidate is aligned with its template: word by word, within ``BAND`` of the implied diagonal (less than the template is long), for the
 most matched words (then the shortest stretch). It is reported when the matched share of the template
-reaches ``COVERAGE``, with the span of code points from its first to its last matched word. Where reports
+reaches ``COVERAGE``, with the span of code points from its first to its last matched word. A candidate whose
+stretch has too few of the template's words, in any order, need not be aligned. Where reports
 of one document overlap, the one with more matched words stays (then the earlier one, then the template
 listed first).
 
-Whole licences (over ``LONG`` words), and templates torn apart by foreign or missing words, are followed by
-chains: fingerprints that a template has once, in the order of both texts, with what lies between two of them
-compared word by word. A foreign block of up to ``FOREIGN`` words (or the template's length, if that is more)
-does not end a chain; a chain needs a tenth of the template's fingerprints.
+Templates torn apart by foreign or missing words are followed by chains: fingerprints that a template has
+once, in the order of both texts, with the longest common subsequence of what lies between two of them, however
+long it is. A foreign block of up to ``FOREIGN`` words (or the template's length, if that is more) does not end
+a chain; a chain needs a tenth of the template's fingerprints. Both ways are taken for templates of every length.
 
 The catalogue has a fixed size and is sent to the tasks; documents are scanned in one pass without a
 shuffle, each text whole. Null and empty texts give no matches. Repeated rows each get their own result.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -41,10 +43,7 @@ GRAM = 3
 WINDOW = 2
 BAND = 6
 COVERAGE = 0.8
-LONG = 250
 FOREIGN = 100
-#: Cells of the word-by-word comparison between two fingerprints; in a larger one only its ends are compared.
-CELLS = 1_000_000
 
 _CLAUSES = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -181,8 +180,7 @@ def build_index(templates: dict[str, str]) -> Index:
         often = Counter(prints.tolist())
         once.append(set())
         for i in winnowed(prints):
-            if len(w) <= LONG or often[int(prints[i])] == 1:
-                places[int(prints[i])].append((t, i))
+            places[int(prints[i])].append((t, i))
             if often[int(prints[i])] == 1:
                 once[t].add(i)
     keys = sorted(places)
@@ -228,23 +226,17 @@ def align(template: list[bytes], words: list[bytes], start: int, t: int) -> Matc
 
 
 def _between(a: list[bytes], b: list[bytes]) -> int:
-    """Matched words of two stretches, in order."""
-    n, least = 0, min(len(a), len(b))
-    while n < least and a[n] == b[n]:
-        n += 1
-    m = 0
-    while m < least - n and a[-1 - m] == b[-1 - m]:
-        m += 1
-    a, b = a[n:len(a) - m], b[n:len(b) - m]
-    if not a or not b or len(a) * len(b) > CELLS:
-        return n + m
-    above = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
-        above = row
-    return n + m + above[-1]
+    """Matched words of two stretches, in order: their longest common subsequence, a row of bits per word of ``b``."""
+    places: dict[bytes, int] = defaultdict(int)
+    for i, w in enumerate(a):
+        places[w] |= 1 << i
+    all_bits = (1 << len(a)) - 1
+    row = all_bits  # a zero where the number of matches rises by one
+    for w in b:
+        at = row & places.get(w, 0)
+        if at:
+            row = ((row + at) | (row - at)) & all_bits
+    return len(a) - row.bit_count()
 
 
 def _longest(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -299,6 +291,22 @@ def chains(template: list[bytes], words: list[bytes], hits: list[tuple[int, int]
     return out
 
 
+def _common_words(template: list[bytes], words: list[bytes]) -> Callable[[int, int], int]:
+    """A function of a stretch of the document: words it has in common with the template, in any order.
+
+    No alignment inside the stretch matches more, so one that falls short need not be made.
+    """
+    number = {w: n for n, w in enumerate(dict.fromkeys(template))}
+    wanted = np.bincount([number[w] for w in template])
+    of_words = np.array([number.get(w, len(number)) for w in words])
+
+    def common(start: int, end: int) -> int:
+        had = np.bincount(of_words[max(0, start):max(0, end)], minlength=len(number) + 1)
+        return int(np.minimum(had[:-1], wanted).sum())
+
+    return common
+
+
 def matches_of(index: Index, words: list[bytes]) -> list[Match]:
     prints = fingerprints(words)
     if not len(prints) or not len(index.hashes):
@@ -312,20 +320,22 @@ def matches_of(index: Index, words: list[bytes]) -> list[Match]:
     found = []
     for t, all_hits in by_template.items():
         template, until = index.words[t], None
-        begins = {place - i for place, i in all_hits}
-        if len(template) <= LONG:
-            for begin in sorted(begins):
-                if until is not None and begin <= until:
-                    continue
-                until = begin + _band(template)
-                m = align(template, words, begin, t)
-                if m and m.matched >= COVERAGE * len(template):
-                    found.append(m)
-        if len(begins) > 1 or len(template) > LONG:
-            least = max(2, index.sizes[t] // 10)
-            once = [(place, i) for place, i in all_hits if i in index.once[t]]
-            if len({i for _, i in once}) >= least:
-                found += [m for m in chains(template, words, once, least, t) if m.matched >= COVERAGE * len(template)]
+        begins, needed = {place - i for place, i in all_hits}, COVERAGE * len(template)
+        common = _common_words(template, words)
+        for begin in sorted(begins):
+            if until is not None and begin <= until:
+                continue
+            band = _band(template)
+            until = begin + band
+            if common(begin - band, begin + len(template) + band) < needed:
+                continue
+            m = align(template, words, begin, t)
+            if m and m.matched >= needed:
+                found.append(m)
+        least = max(2, index.sizes[t] // 10)
+        once = [(place, i) for place, i in all_hits if i in index.once[t]]
+        if len({i for _, i in once}) >= least:
+            found += [m for m in chains(template, words, once, least, t) if m.matched >= needed]
     kept: list[Match] = []
     for m in sorted(found, key=lambda m: (-m.matched, m.first, m.template)):
         if all(m.last < k.first or k.last < m.first for k in kept):

@@ -105,3 +105,38 @@ def test_licences_torn_apart_and_whole_texts(spark):
     assert got[:3] == [[("MIT-permission", 1.0)], [("MIT-text", 1.0)], [("GPL-3-text", 1.0)]]
     assert [x for x, _ in got[3]] == ["GPL-3-text"] and 0.9 < got[3][0][1] < 1
     assert got[4] == [("MIT-text", 1.0)] * 2
+
+
+def longest_common(a, b):
+    above = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        above = row
+    return above[-1]
+
+
+def test_common_subsequence_equals_the_table_of_all_cells():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.choice([b"a", b"b", b"c", b"d"]) for _ in range(r.randrange(0, 90))] for _ in range(2))
+        assert licenses._between(a, b) == longest_common(a, b)
+
+
+@pytest.mark.parametrize("stretch", [900, 2000])
+def test_foreign_words_in_long_stretches(spark, stretch):
+    words = licenses.TEMPLATES["GPL-3-text"].split()
+    torn = words[:1000]
+    for i in range(1000, 1000 + stretch, 2):
+        torn += [*words[i:i + 2], "foreign"]
+    [found] = scan(spark, [" ".join(torn + words[1000 + stretch:])])
+    assert [(m.license, m.coverage) for m in found] == [("GPL-3-text", 1.0)]
+
+
+def test_long_templates_whose_fingerprints_all_repeat(spark):
+    """No fingerprint occurs once, so chains have nothing to follow; the band does."""
+    lines = " ".join(["alpha beta gamma delta"] * 100)
+    [found, torn] = scan(spark, [f"x {lines} y", f"x {lines.replace('delta alpha', 'delta foreign alpha', 3)} y"], templates={"lines": lines})
+    assert [(m.license, m.coverage) for m in found] == [("lines", 1.0)]
+    assert [(m.license, m.coverage) for m in torn] == [("lines", 1.0)]
