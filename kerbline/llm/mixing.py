@@ -34,12 +34,11 @@ PARTS = 1 << 24
 SEED = 20
 
 
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
 
 
-def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+def numbered_by_range(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows sorted by range, with ``__part`` and ``__at``, the place inside the part; written once."""
     parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
@@ -49,7 +48,7 @@ def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(__s, __none, source_size, target, __w) from one row per source, (__s, __none, source_size)."""
-    numbered = _numbered(sizes, [F.col("__none"), F.col("__s")])
+    numbered = numbered_by_range(sizes, [F.col("__none"), F.col("__s")])
     firsts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = firsts.withColumn("__before", F.coalesce(
         F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -86,7 +85,7 @@ def mix_sources(
     sized = docs.select(
         F.col(id).alias("__doc"), F.coalesce(F.col(source), F.lit("")).alias("__s"), F.col(source).isNull().alias("__none"),
         word_count(F.col(text)).alias("size"))
-    numbered = _numbered(
+    numbered = numbered_by_range(
         sized.withColumn("__h", F.xxhash64("__doc", F.lit(seed))),
         [F.col("__none"), F.col("__s"), F.col("size"), F.col("__h"), F.col("__doc")])
     # One row per source and partition it reaches into: sums carry the numbering across partitions.

@@ -8,8 +8,9 @@ target, narrowed to the least and greatest key in it. A splitter is done when a
 hash of the id inside that text; where one row does, the nearer side is taken. What reaches the driver is
 one row per probe, whatever the table's size.
 
-Then the rows are exchanged once, by shard and by a hash that splits large shards into pieces, sorted in
-their piece and numbered; counts per piece carry the numbers on, so slots have no gaps.
+Then the rows are exchanged once, by range of the key, sorted in their part and numbered there; rows per part
+carry the numbers on and rows per shard set them back to 0, so slots follow the key in a shard of any size,
+without gaps, and a text with many copies is spread over as many parts as it fills.
 
 Null texts count as empty (size 1). Rows equal in id and text are parted by a running
 number, so one row may be repeated as often as it likes. An empty table gives no rows; further columns
@@ -24,12 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import stored, whole
+from kerbline.llm.mixing import numbered_by_range
 
 SHARDS = 8
 PROBES = 64
 TOLERANCE = 0.001
-#: A shard of more rows is sorted in several pieces.
-PIECE_ROWS = 2_000_000
 #: Bits of a key that part rows equal in id and text.
 TIE_BITS = 20
 _TOP = 1 << 63
@@ -120,7 +120,7 @@ def _not_below(edge: tuple[int, int]) -> Column:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, piece_rows: int = PIECE_ROWS,
+    docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(id, size, crc, shard, slot) for every row of ``docs``."""
     keys = stored(document_keys(docs, id, text))
@@ -129,11 +129,11 @@ def shard_documents(
     shard = F.lit(0)
     for edge in edges:
         shard = shard + _not_below(edge).cast("int")
-    pieces = max(1, -(-whole_table["rows"] // (shards * piece_rows)))
-    placed = keys.withColumns({"shard": shard, "piece": F.pmod("g", F.lit(pieces))})
-    starts = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))
-    starts = starts.select("shard", "piece", F.coalesce(F.sum("n").over(
-        Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "piece").orderBy("h", "g", "id")))
-    return numbered.join(starts, ["shard", "piece"]).select(
-        F.col("id").alias(id), "size", "crc", "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot"))
+    numbered = numbered_by_range(keys.withColumn("shard", shard), [F.col("h"), F.col("g"), F.col("id")])
+    # A row per part, and one per shard: shards rise with the key, so the rows before one are those of the shards below.
+    parts, of_shards = (numbered.groupBy(c).agg(F.count("*").alias("n")).select(
+        c, F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}_start"))
+        for c in ("__part", "shard"))
+    slot = F.col("__part_start") + F.col("__at") - F.col("shard_start")
+    return numbered.join(parts, "__part").join(of_shards, "shard").select(
+        F.col("id").alias(id), "size", "crc", "shard", slot.cast("long").alias("slot"))

@@ -2,8 +2,6 @@ import random
 import zlib
 from collections import Counter
 
-import pytest
-
 from kerbline.llm import sharding
 
 
@@ -24,11 +22,10 @@ def spread(got):
     return max(sizes) - min(sizes), sum(sizes)
 
 
-@pytest.mark.parametrize("pieces", [10**6, 40])
-def test_equal_bytes(spark, pieces):
+def test_equal_bytes(spark):
     r = random.Random(1)
     rows = [(i, "é" * r.randrange(0, 400)) for i in range(4000)]
-    got = shards_of(spark, rows, piece_rows=pieces)
+    got = shards_of(spark, rows)
     texts = dict(rows)
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.crc == zlib.crc32(texts[r.doc_id].encode()) for r in got)
     gap, total = spread(got)
@@ -63,3 +60,21 @@ def test_one_exchange_and_no_python(spark):
     keys = table(spark, [(1, "x")])
     plan = sharding.document_keys(keys)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_slots_follow_the_key_over_all_parts(spark):
+    """Against sorting on one machine: equal texts lie next to each other, whatever the number of parts."""
+    rows = [(i, f"text {i % 500}") for i in range(4000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        got = sharding.shard_documents(table(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hashes = {r.id: (r.h, r.g >> sharding.TIE_BITS) for r in sharding.document_keys(table(spark, rows)).collect()}
+    in_order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert in_order == sorted(hashes, key=hashes.__getitem__)
+    texts = [i % 500 for i in in_order]
+    assert sum(a != b for a, b in zip(texts, texts[1:])) == 499
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
