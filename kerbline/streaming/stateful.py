@@ -6,9 +6,10 @@ state of a key is a few numbers, or its open tracks, never its history.
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +26,37 @@ SAMPLED = (
 CLOSED_TRACK = (
     "camera_id string, tracker_id bigint, cls string, started_ms bigint, ended_ms bigint, frame_count bigint, is_vehicle boolean"
 )
+#: What a track is made of, and how many rows are turned into Python values at once.
+DETECTED, SLICE_ROWS = ("camera_id", "seq", "recorded_ms", "tracker_id", "cls", "starts_segment"), 65_536
+
+
+class Idle:
+    """Which open tracks have been idle too long, without looking at the others.
+
+    A heap has a time for every open track, at or before its last sight: a track is entered when it opens and
+    when its time goes back; one that was seen since its entry is entered again when the entry comes up.
+    """
+
+    def __init__(self, idle_ms: float, tracks: Iterable[tuple]) -> None:
+        self.idle_ms, self.entries = idle_ms, list(tracks)
+        heapq.heapify(self.entries)
+
+    def seen(self, at: int, tracker) -> None:
+        heapq.heappush(self.entries, (at, tracker))
+
+    def since(self, now: int, last_of: Callable) -> list:
+        """Trackers last seen more than ``idle_ms`` before ``now``; ``last_of`` tells when, or None if closed."""
+        found = {}
+        while self.entries and now - self.entries[0][0] > self.idle_ms:
+            _, tracker = heapq.heappop(self.entries)
+            last = last_of(tracker)
+            if last is None:
+                continue
+            if now - last > self.idle_ms:
+                found[tracker] = None
+            else:
+                heapq.heappush(self.entries, (last, tracker))
+        return list(found)
 
 
 def sampled_frames(
@@ -92,26 +124,43 @@ def closed_tracks(detections: DataFrame, idle_ms: float = IDLE_CLOSE_MS, departe
             state.remove()
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED_TRACK.split(", ")])
             return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for _, frame in rows.groupby("seq", sort=True):
-            if bool(frame["starts_segment"].iloc[0]):
-                for tracker in list(opened):
-                    close(tracker)
-            now = int(frame["recorded_ms"].iloc[0])
-            for d in frame.itertuples(index=False):
-                if pd.isna(d.tracker_id):
+        idle = Idle(idle_ms, ((track[2], tracker) for tracker, track in opened.items()))
+
+        def end_frame() -> None:
+            for tracker in idle.since(now, lambda k: opened[k][2] if k in opened else None):
+                close(tracker)
+
+        rows = pd.concat(list(batches)).dropna(subset="seq").sort_values("seq", kind="stable")
+        frame = now = None
+        for at in range(0, len(rows), SLICE_ROWS):
+            part = rows.iloc[at:at + SLICE_ROWS]
+            for seq, recorded_ms, tracker_id, cls, starts in zip(*(part[c].tolist() for c in DETECTED[1:])):
+                if seq != frame:
+                    if frame is not None:
+                        end_frame()
+                    frame, now = seq, int(recorded_ms)
+                    if starts:
+                        for tracker in list(opened):
+                            close(tracker)
+                if pd.isna(tracker_id):
                     continue
-                track = opened.setdefault(str(int(d.tracker_id)), [d.cls, now, now, 0])
+                tracker = str(int(tracker_id))
+                track = opened.get(tracker)
+                if track is None:
+                    track = opened[tracker] = [cls, now, now, 0]
+                    idle.seen(now, tracker)
+                elif now < track[2]:
+                    idle.seen(now, tracker)
                 track[2], track[3] = now, track[3] + 1
-            for tracker in [k for k, v in opened.items() if now - v[2] > idle_ms]:
-                close(tracker)
+        if frame is not None:
+            end_frame()
         state.update((json.dumps(opened),))
         if departed_after_ms is not None:
             state.setTimeoutDuration(departed_after_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED_TRACK.split(", ")])
 
     timeout = GroupStateTimeout.NoTimeout if departed_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return detections.groupBy("camera_id").applyInPandasWithState(step, CLOSED_TRACK, "state string", "append", timeout)
+    return detections.select(*DETECTED).groupBy("camera_id").applyInPandasWithState(step, CLOSED_TRACK, "state string", "append", timeout)
 
 
 def tracks_to_end(detections: DataFrame, folder: str, idle_ms: float = IDLE_CLOSE_MS) -> DataFrame:
