@@ -25,6 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from kerbline.operators.alerts import FIRST, KEY, alert_id
 from kerbline.operators.frames import BURST_GUARD_MS, MAX_FORWARD_GAP_MS, SETTLE_MS
 from kerbline.operators.tracks import EARLY_SIGNATURE_FRAMES, IDLE_CLOSE_MS, MAX_CROPS, RESIGNATURE_EVERY, VEHICLE_CLASSES
+from kerbline.streaming.stateful import Idle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How far a row may be behind the newest one of its connection, and a connection behind its camera.
@@ -295,6 +296,7 @@ class TrackProcessor(_Timed):
             if name not in batch:
                 batch[name] = None
         starts = batch["starts_segment"].eq(True)
+        idle = Idle(self.rule.idle_ms, ((t["last"], tracker) for tracker, t in known.items()))
         at = 0
         columns = list(zip(batch["seq"], batch["recorded_ms"], batch["tracker_id"], batch["cls"], batch["embedding"], batch["area"], starts))
         while at < len(columns):
@@ -310,12 +312,17 @@ class TrackProcessor(_Timed):
                 if tracker is None or pd.isna(tracker):
                     continue
                 tracker = int(tracker)
-                t = known.setdefault(tracker, {"cls": cls, "first": now, "last": now, "n": 0, "sum": None, "vectors": 0, "crops": []})
+                t = known.get(tracker)
+                if t is None:
+                    t = known[tracker] = {"cls": cls, "first": now, "last": now, "n": 0, "sum": None, "vectors": 0, "crops": []}
+                    idle.seen(now, tracker)
+                elif now < t["last"]:
+                    idle.seen(now, tracker)
                 self._seen(t, now, vector, area, int(seq))
                 touched.add(tracker)
                 if cls_due(t, self.rule):
                     out.append(self._signature(key[0], tracker, t, True))
-            for tracker in [k for k, t in known.items() if now - t["last"] > self.rule.idle_ms]:
+            for tracker in idle.since(now, lambda k: known[k]["last"] if k in known else None):
                 self._closed(key[0], tracker, known.pop(tracker), out)
             at = end
         for tracker in stored.keys() - known.keys():
