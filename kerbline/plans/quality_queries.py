@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbline.functions import plates
+from kerbline.functions.binding import bind
 from kerbline.operators import clockread, fingerprint, quality, signatures
 from kerbline.plans.index_queries import VECTOR_DIM
 from kerbline.plans.registry import query
 from kerbline.plans.scalar_queries import PLATE_CTES
+from kerbline.session import spread
 
 COLOURS = """
 body as (select crop_id, h, s, v from {hsv_pixels} where row_no >= 1 and row_no < 5 and col_no >= 2 and col_no < 6),
@@ -66,7 +68,9 @@ with {PLATE_CTES}, r as (select p.track_id, b.plate, count(*) as n, avg(p.confid
 w as (select *, sum(n) over (partition by track_id) as total, row_number() over (partition by track_id order by n desc, c desc, plate) as k from r)
 select track_id, plate as normalized, cast(total as bigint) as frames_considered, round(n / total, 6) as agreement from w where k = 1""")
 def consensus(t):
-    reads = t.plate_reads.withColumn("plate", plates.match_key(plates.normalize(F.col("raw_ocr"))))
+    # Small rows that are dear to read go to every core; exploded, a reading is not computed again for the filter on it.
+    key = bind(plates.normalize(F.col("raw_ocr")), plates.match_key)
+    reads = spread(t.plate_reads).withColumn("plate", F.explode_outer(F.array(key)))
     return signatures.plate_consensus(reads).withColumn("agreement", F.round("agreement", 6))
 
 
