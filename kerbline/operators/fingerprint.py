@@ -17,6 +17,7 @@ HASH_SIDE, KEEP = 32, 8
 SLOT_BUCKET_SECONDS = 1800
 MATCH_MAX_DISTANCE, CONFLICT_MIN_DISTANCE = 10, 18
 USABLE_SEPARATION_BITS = 8
+HASH_BITS = 64
 
 
 def slot_bucket(offset_s: Column) -> Column:
@@ -60,9 +61,10 @@ def perceptual_hash(frames: DataFrame, keys: list[str]) -> DataFrame:
     return block.withColumn("median", median).select(*keys, F.lpad(F.lower(F.conv(bits, 2, 16)), 16, "0").alias("phash"))
 
 
-def _histogram(scope: np.ndarray, distance: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
-    frame = pd.DataFrame({"scope": scope, "distance": distance.astype("int32"), "pairs": weight.astype("int64")})
-    return frame.groupby(["scope", "distance"], as_index=False)["pairs"].sum()
+def _add(totals: np.ndarray, distance: np.ndarray, weight: np.ndarray) -> None:
+    """Add the weights to the totals per distance. Sums run in doubles, so weights go in halves that they hold exactly."""
+    low = np.bincount(distance, weight & 0x7FFFFFF, minlength=len(totals))
+    totals += low.astype("int64") + (np.bincount(distance, weight >> 27, minlength=len(totals)).astype("int64") << 27)
 
 
 def pair_distances(prints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -80,26 +82,23 @@ def pair_distances(prints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
             x, y = a["bits"].to_numpy().view("uint64"), other["bits"].to_numpy().view("uint64")
             wa, wb = a["weight"].to_numpy(), other["weight"].to_numpy()
             ka, kb = (f[scope_of].to_numpy() for f in (a, other))
-            parts = []
-            for start in range(0, len(a), 512):
-                stop = min(start + 512, len(a))
+            scopes = ("same_camera_other_bucket", None) if within_label else ("other_camera_same_bucket", "same_camera_same_bucket")
+            totals = {scope: np.zeros(HASH_BITS + 1, "int64") for scope in scopes if scope}
+            for start in range(0, len(a), 256):
+                stop = min(start + 256, len(a))
                 d = np.bitwise_count(x[start:stop, None] ^ y[None, :])
                 w = wa[start:stop, None] * wb[None, :]
                 if b is None:
-                    upper = np.arange(len(other))[None, :] > np.arange(start, stop)[:, None]
-                    w = np.where(upper, w, 0)
+                    w[np.arange(len(other))[None, :] <= np.arange(start, stop)[:, None]] = 0
                 same = ka[start:stop, None] == kb[None, :]
-                if within_label:  # one camera, different buckets
-                    scope, w = np.full(d.shape, "same_camera_other_bucket"), np.where(same, 0, w)
-                else:
-                    scope = np.where(same, "same_camera_same_bucket", "other_camera_same_bucket")
-                hit = w > 0
-                parts.append(_histogram(scope[hit], d[hit], w[hit]))
+                # Within one camera, pairs of one bucket are the other comparison's.
+                for scope, among in zip(scopes, (~same, same)):
+                    if scope:
+                        _add(totals[scope], d[among], w[among])
             if b is None and not within_label:
-                copies = wa * (wa - 1) // 2
-                hit = copies > 0
-                parts.append(_histogram(np.full(hit.sum(), "same_camera_same_bucket"), np.zeros(hit.sum()), copies[hit]))
-            return pd.concat(parts, ignore_index=True)
+                totals["same_camera_same_bucket"][0] += (wa * (wa - 1) // 2).sum()
+            return pd.concat([pd.DataFrame({"scope": scope, "distance": np.flatnonzero(n).astype("int32"), "pairs": n[n > 0]})
+                              for scope, n in totals.items()], ignore_index=True)
         return kernel
 
     schema = "scope string, distance int, pairs bigint"
