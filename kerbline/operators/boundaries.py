@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators.sequence import stitched
-from kerbline.session import cut_lineage
+from kerbline.session import written
 
 # Outline tolerance and precision in degrees, and districts known by another name in
 # the boundary source, or split off since from the one named.
@@ -78,30 +83,81 @@ def _to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Co
     return F.hypot(x - (ax + t * dx), y - (ay + t * dy))
 
 
-def simplify_rings(vertices: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
-    """Douglas-Peucker over every ring at once, one level of splits per round.
-
-    A round finds, for each open stretch of outline, its farthest vertex, as a grouped maximum that
-    merges before the shuffle; a stretch is split there or finished. The longest ring is spread over
-    the cluster like any other rows. Rounds are as many as the deepest split, not the vertices.
+def _farthest(x: np.ndarray, y: np.ndarray, a: tuple, b: tuple) -> tuple[int, float]:
+    """The first vertex farthest from the segment, as :func:`_to_segment` measures; NaN is farther than any number."""
+    (ax, ay), (bx, by) = a, b
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = np.zeros(len(x)) if length == 0 else np.nan_to_num(np.clip(((x - ax) * dx + (y - ay) * dy) / length, 0.0, 1.0), nan=1.0)
+    far = np.hypot(x - (ax + t * dx), y - (ay + t * dy))
+    at = int(np.argmax(np.where(np.isnan(far), np.inf, far)))
+    return at, far[at]
+
+
+def _outline(stretch: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """The vertices of one stretch that Douglas-Peucker keeps."""
+    stretch = stretch.sort_values("pos", kind="stable", ignore_index=True)
+    pos, x, y = (stretch[c].to_numpy() for c in ("pos", "x", "y"))
+    first = stretch.iloc[0]
+    kept, todo = [], [(0, len(pos), (first["ax"], first["ay"]), (first["bx"], first["by"]))]
+    while todo:
+        start, stop, a, b = todo.pop()
+        if start == stop:
+            continue
+        at, far = _farthest(x[start:stop], y[start:stop], a, b)
+        if far <= tolerance:
+            continue
+        at += start
+        m = (x[at], y[at])
+        kept.append(at)
+        todo += [(start, int(np.searchsorted(pos, pos[at], "left")), a, m), (int(np.searchsorted(pos, pos[at], "right")), stop, m, b)]
+    return stretch.iloc[kept]
+
+
+def simplify_rings(vertices: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE, local_points: int = CHUNK_POINTS) -> DataFrame:
+    """Douglas-Peucker over every ring at once.
+
+    A stretch of outline of up to ``local_points`` vertices is finished by one task. A longer one is split in
+    rounds: its farthest vertex is found as a grouped maximum that merges before the shuffle, so the longest
+    ring is spread over the cluster like any other rows, until its pieces are short enough.
     """
     c, key = F.col, _ring_key(vertices)
     ends = vertices.groupBy(*key).agg(F.min_by(F.struct("pos", "x", "y"), "pos").alias("a"), F.max_by(F.struct("pos", "x", "y"), "pos").alias("b"))
     corner = lambda e: ends.select(*key, c(f"{e}.pos").alias("pos"), c(f"{e}.x").alias("x"), c(f"{e}.y").alias("y"))
     kept = corner("a").unionByName(corner("b").join(ends.where("a.pos < b.pos").select(*key), key, "left_semi"))
-    open_ = vertices.join(ends, key).where((c("pos") > c("a.pos")) & (c("pos") < c("b.pos"))).select(*key, "pos", "x", "y", "a", "b")
-    open_ = cut_lineage(open_)
-    while not open_.isEmpty():
+    # A place that is not known is no distance away: such a vertex is never kept, such an end keeps nothing.
+    known = [c(f).isNotNull() for f in ("x", "y", "a.x", "a.y", "b.x", "b.y")]
+    open_ = vertices.join(ends, key).where((c("pos") > c("a.pos")) & (c("pos") < c("b.pos")))
+    open_ = open_.where(reduce(and_, known)).select(*key, "pos", "x", "y", "a", "b").withColumn("at", c("a.pos"))
+    open_ = written(open_)
+    schema = open_.select(*key, "pos", "x", "y").schema
+    names = schema.names
+
+    def finish(stretch: pd.DataFrame) -> pd.DataFrame:
+        return _outline(stretch, tolerance)[names]
+
+    short = []
+    while True:
         far = _to_segment(c("x"), c("y"), c("a.x"), c("a.y"), c("b.x"), c("b.y"))
-        splits = open_.groupBy(*key, c("a.pos").alias("at")).agg(
+        long = open_.groupBy(*key, "at").agg(F.count("*").alias("n")).where(c("n") > local_points).drop("n")
+        long = written(long)
+        if long.isEmpty():
+            short.append(open_)
+            break
+        short.append(open_.join(long, [*key, "at"], "left_anti"))
+        rows = open_.join(long, [*key, "at"], "left_semi")
+        splits = rows.groupBy(*key, "at").agg(
             F.max_by(F.struct("pos", "x", "y"), F.struct(far, -c("pos"))).alias("m"), F.max(far).alias("far")
         ).where(c("far") > tolerance).drop("far")
-        splits = cut_lineage(splits)
+        splits = written(splits)
         kept = kept.unionByName(splits.select(*key, "m.pos", "m.x", "m.y"))
-        halves = open_.withColumn("at", c("a.pos")).join(splits, [*key, "at"]).where(c("pos") != c("m.pos"))
-        open_ = cut_lineage(halves.select(
+        halves = rows.join(splits, [*key, "at"]).where(c("pos") != c("m.pos"))
+        open_ = written(halves.select(
             *key, "pos", "x", "y", F.when(c("pos") < c("m.pos"), c("a")).otherwise(c("m")).alias("a"),
-            F.when(c("pos") < c("m.pos"), c("m")).otherwise(c("b")).alias("b")))
+            F.when(c("pos") < c("m.pos"), c("m")).otherwise(c("b")).alias("b")).withColumn("at", c("a.pos")))
+    for rows in short:
+        flat = rows.select(*key, "at", "pos", "x", "y", c("a.x").alias("ax"), c("a.y").alias("ay"), c("b.x").alias("bx"), c("b.y").alias("by"))
+        kept = kept.unionByName(flat.groupBy(*key, "at").applyInPandas(finish, schema))
     return kept
 
 

@@ -1,12 +1,13 @@
 """Steps that must not grow faster than their input: each does its work once, or without what it does not need."""
 
+import math
 import random
 from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from kerbline.operators import fingerprint
+from kerbline.operators import boundaries, fingerprint
 from kerbline.plans import quality_queries
 from kerbline.sources import contracts
 from kerbline.streaming.stateful import Idle
@@ -64,3 +65,41 @@ def test_weights_add_up_exactly():
     totals = np.zeros(65, "int64")
     fingerprint._add(totals, distance, weight)
     assert totals.tolist() == [sum(int(w) for w, d in zip(weight, distance) if d == k) for k in range(65)]
+
+
+def outline(points, tolerance):
+    """The rule, point by point."""
+    def far(p, a, b):
+        dx, dy = b[1] - a[1], b[2] - a[2]
+        length = dx * dx + dy * dy
+        t = 0.0 if length == 0 else max(0.0, min(1.0, ((p[1] - a[1]) * dx + (p[2] - a[2]) * dy) / length))
+        return math.hypot(p[1] - (a[1] + t * dx), p[2] - (a[2] + t * dy))
+
+    kept, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        found = max(((far(points[i], points[a], points[b]), -i) for i in range(a + 1, b)), default=(0.0, 0))
+        if found[0] > tolerance:
+            kept.add(-found[1])
+            todo += [(a, -found[1]), (-found[1], b)]
+    return {points[i][0] for i in kept}
+
+
+def test_outlines_are_the_same_in_rounds_and_in_one_task(spark):
+    rng = random.Random(8)
+    rows = [(f"f{f}", r, pos, rng.uniform(0, 9), rng.uniform(0, 9)) for f in range(2) for r in range(2) for pos in range(0, 3 * (60 + 40 * f), 3)]
+    rows += [("one", 0, 0, 1.0, 1.0), ("gap", 0, 0, 1.0, 1.0), ("gap", 0, 1, None, 5.0), ("gap", 0, 2, 9.0, 9.0)]
+    rings = spark.createDataFrame(rows, "feature string, ring_no int, pos int, x double, y double")
+    want = set()
+    for key in {r[:2] for r in rows} - {("gap", 0)}:
+        want |= {(*key, pos) for pos in outline([r[2:] for r in rows if r[:2] == key], 3.0)}
+    want |= {("gap", 0, 0), ("gap", 0, 2)}
+    for local_points in (50_000, 7):
+        got = [(r.feature, r.ring_no, r.pos) for r in boundaries.simplify_rings(rings, 3.0, local_points=local_points).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_short_rings_take_no_rounds(spark):
+    rows = spark.range(400).select(F.lit("f").alias("feature"), F.lit(0).alias("ring_no"), F.col("id").alias("pos"),
+                                   F.col("id").cast("double").alias("x"), (F.pmod(F.col("id") * 7919, F.lit(101)) / 1.0).alias("y"))
+    assert optimized(boundaries.simplify_rings(rows)).count("FlatMapGroupsInPandas") == 1
