@@ -5,9 +5,10 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from kerbline.operators import boundaries, fingerprint
+from kerbline.operators import boundaries, fingerprint, similarity, spatial
 from kerbline.plans import quality_queries
 from kerbline.sources import contracts
 from kerbline.streaming.stateful import Idle
@@ -103,3 +104,32 @@ def test_short_rings_take_no_rounds(spark):
     rows = spark.range(400).select(F.lit("f").alias("feature"), F.lit(0).alias("ring_no"), F.col("id").alias("pos"),
                                    F.col("id").cast("double").alias("x"), (F.pmod(F.col("id") * 7919, F.lit(101)) / 1.0).alias("y"))
     assert optimized(boundaries.simplify_rings(rows)).count("FlatMapGroupsInPandas") == 1
+
+
+def test_rows_travel_once_per_tile_not_per_block():
+    rng = np.random.default_rng(4)
+    for tile_rows in (25, 100, 8192):
+        cells = similarity._tiled(pd.DataFrame({"__cell": rng.permutation(60), "n": rng.integers(1, 150, 60)}), tile_rows)
+        held = {}
+        for n, first, parts in cells[["n", "first", "parts"]].itertuples(index=False):
+            for tile in range(first, first + parts):
+                held.setdefault(tile, []).append(n / parts)
+        assert sorted(held) == list(range(max(held) + 1)) and cells["__cell"].is_monotonic_increasing
+        assert max(sum(h) for h in held.values()) <= tile_rows
+        assert len(held) <= 2 * cells["n"].sum() / tile_rows + 1 + (cells["parts"] > 1).sum()
+
+
+def test_nearest_cameras_without_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [(f"c{i}", rng.choice((22.0, 22.5)) + rng.gauss(0, 0.002), 72.0 + rng.gauss(0, 0.002)) for i in range(150)]
+    rows += [(f"same{i}", 22.0, 72.0) for i in range(40)] + [("alone", 22.3, 72.3), ("far", 40.0, 10.0), ("none", None, None), ("c0", 22.1, 72.1), (None, 22.0, 72.0), *[("same1", 22.0, 72.0)] * 5]
+    cameras = spark.createDataFrame(rows, "camera_id string, lat double, lng double")
+    want = spatial.nearest_cameras(spatial.cameras_near(cameras, 90_000), 3)
+    order = ("camera_id", "nearness", "near_id", "distance_m")
+    for crowd in (5, 1000):
+        pairs = spatial.cameras_near(cameras, 90_000, nearest=3, crowd=crowd)
+        got = spatial.nearest_cameras(pairs, 3)
+        assert sorted(map(tuple, got.select(*order).collect())) == sorted(map(tuple, want.select(*order).collect()))
+        assert pairs.count() < 2000 < spatial.cameras_near(cameras, 90_000).count()
+    few = spark.createDataFrame(rows[:3], "camera_id string, lat double, lng double")
+    assert spatial.cameras_near(few, 90_000, few.limit(1), nearest=1).count() == 1
