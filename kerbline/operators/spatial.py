@@ -9,45 +9,93 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.functions.clock import CORRELATION_TOLERANCE_MS
+from kerbline.session import written
+
+#: Places in the fullest cell of the first circle of a search for the nearest, and how many circles may be tried.
+CROWD, SEARCH_SIZES = 50, 10
 
 
 def cameras_near(
     cameras: DataFrame, radius_m: float, of: DataFrame | None = None, *, ellipsoidal: bool = False,
-    max_abs_lat: float = 60.0,
+    max_abs_lat: float = 60.0, nearest: int | None = None, crowd: int = CROWD,
 ) -> DataFrame:
     """Pairs of cameras within ``radius_m``, nearest first; ``of`` limits whose neighbours are wanted.
 
     Cells are at least as large as the radius, so only the nine cells around a camera can hold a
     neighbour: the search is an equi-join on the cell. ``max_abs_lat`` bounds how narrow a degree of
     longitude gets; positions beyond it, or within a cell of the 180th meridian, are refused.
+
+    With ``nearest``, only each camera's nearest so many (:func:`nearest_cameras`, ties to the smaller id): a
+    circle in which no cell holds more than ``crowd`` places grows fourfold in width, for the places that have
+    too few cameras in it, up to the radius.
     """
-    lat_step = radius_m / geo.METRES_PER_DEGREE * 1.01
-    lng_step = lat_step / math.cos(math.radians(max_abs_lat))
+    _, lng_step = _steps(radius_m, max_abs_lat)
     placed = cameras.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("camera_id", "lat", "lng")
     inside = (F.abs("lat") <= max_abs_lat) & (F.abs("lng") <= 180 - lng_step)
     placed = placed.withColumn("lat", F.when(inside, F.col("lat")).otherwise(
         F.raise_error(F.lit("camera position outside the band this search covers")).cast("double")))
+    wanted = placed if of is None else placed.join(of.select("camera_id").distinct(), "camera_id", "left_semi")
+    measure = geo.ellipsoidal_km if ellipsoidal else geo.haversine_km
+    if nearest is None:
+        right = placed.select(F.col("camera_id").alias("near_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+        found = _within(wanted, right, radius_m, max_abs_lat, measure)
+    else:
+        found = _nearest(written(placed), wanted, radius_m, nearest, crowd, max_abs_lat, measure)
+    return found.where("camera_id <> near_id").select("camera_id", "near_id", "distance_m").orderBy("camera_id", "distance_m", "near_id")
+
+
+def _steps(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
+    """Height and width of cells as large as the radius, in degrees."""
+    lat_step = radius_m / geo.METRES_PER_DEGREE * 1.01
+    return lat_step, lat_step / math.cos(math.radians(max_abs_lat))
+
+
+def _within(left: DataFrame, right: DataFrame, radius_m: float, max_abs_lat: float, measure) -> DataFrame:
+    """Rows of ``left`` (lat, lng) with those of ``right`` (b_lat, b_lng) within the radius, themselves included."""
     cell = lambda c, step: F.floor(F.col(c) / step)
-    right = placed.select(
-        F.col("camera_id").alias("near_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"),
-        cell("lat", lat_step).alias("cy"), cell("lng", lng_step).alias("cx"),
-    )
+    lat_step, lng_step = _steps(radius_m, max_abs_lat)
     around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    left = placed if of is None else placed.join(of.select("camera_id").distinct(), "camera_id", "left_semi")
-    left = left.withColumn("o", around).select(
-        "camera_id", "lat", "lng", (cell("lat", lat_step) + F.col("o.dy")).alias("cy"),
-        (cell("lng", lng_step) + F.col("o.dx")).alias("cx"),
-    )
-    measure = geo.ellipsoidal_km if ellipsoidal else geo.haversine_km
+    l = left.withColumn("o", around).withColumns({
+        "cy": cell("lat", lat_step) + F.col("o.dy"), "cx": cell("lng", lng_step) + F.col("o.dx")}).drop("o")
+    r = right.withColumns({"cy": cell("b_lat", lat_step), "cx": cell("b_lng", lng_step)})
     return (
-        left.join(right, ["cy", "cx"]).where("camera_id <> near_id")
+        l.join(r, ["cy", "cx"]).drop("cy", "cx")
         .withColumn("distance_m", measure(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng")) * 1000)
         .where(F.col("distance_m") <= radius_m)
-        .select("camera_id", "near_id", "distance_m")
-        .orderBy("camera_id", "distance_m", "near_id")
     )
 
 
+def _nearest(placed: DataFrame, wanted: DataFrame, radius_m: float, k: int, crowd: int, max_abs_lat: float, measure) -> DataFrame:
+    """At least the ``k`` nearest of each wanted camera, itself apart, and few more."""
+    # An id may have several rows, which are all the camera itself: so many more are kept than asked for. Then a row
+    # with that many smaller ids at its own place is among nobody's nearest.
+    placed, wanted = (df.where(F.col("camera_id").isNotNull()) for df in (placed, wanted))
+    k += placed.groupBy("camera_id").count().agg(F.max("count")).first()[0] or 0
+    at = Window.partitionBy("lat", "lng").orderBy("camera_id")
+    shown = placed.withColumn("n", F.row_number().over(at)).where(F.col("n") <= k)
+    places = written(shown.groupBy("lat", "lng").agg(F.collect_list("camera_id").alias("ids")))
+    sizes = [radius_m / 4 ** i for i in range(SEARCH_SIZES)]
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.floor(F.col("lat") / lat_step).alias("cy"), F.floor(F.col("lng") / lng_step).alias("cx"))
+        for i, (lat_step, lng_step) in enumerate(_steps(s, max_abs_lat) for s in sizes)]))
+    fullest = places.select(cells.alias("c")).groupBy("c").agg(F.count("*").alias("n")).groupBy("c.i").agg(F.max("n").alias("n"))
+    start = fullest.where(F.col("n") <= crowd).agg(F.min("i")).first()[0]
+    right = places.select(F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "ids")
+    here = Window.partitionBy("lat", "lng").orderBy("distance_m", "near_id")
+    open_, found = wanted.select("lat", "lng").distinct(), None
+    for size in reversed(sizes[:SEARCH_SIZES if start is None else start + 1]):
+        near = _within(open_, right, size, max_abs_lat, measure).select("lat", "lng", "distance_m", F.explode("ids").alias("near_id"))
+        near = written(near.withColumn("n", F.row_number().over(here)).where(F.col("n") <= k))
+        full = near.where(F.col("n") == k).select("lat", "lng")
+        done = near if size == radius_m else near.join(full, ["lat", "lng"], "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if size < radius_m:
+            open_ = written(open_.join(full, ["lat", "lng"], "left_anti"))
+            if open_.isEmpty():
+                break
+    return wanted.join(found.drop("n"), ["lat", "lng"])
+
+
 def nearest_cameras(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest per camera; Spark keeps only k rows per camera before the shuffle."""
     w = Window.partitionBy("camera_id").orderBy("distance_m", "near_id")

@@ -216,7 +216,7 @@ def near(t):
 select camera_id, near_id, cast(n as int) as nearness from (select *, row_number() over (partition by camera_id order by d, near_id) as n
   from ({NEAR_SQL}) x where d <= 90000) y where n <= 3""")
 def nearest(t):
-    return spatial.nearest_cameras(spatial.cameras_near(t.cameras, 90_000), 3).select("camera_id", "near_id", "nearness")
+    return spatial.nearest_cameras(spatial.cameras_near(t.cameras, 90_000, nearest=3), 3).select("camera_id", "near_id", "nearness")
 
 
 HOPS = """select c.camera_id as from_camera, d.camera_id as to_camera, cast(c.camera_no * 7919 % 6000 - 60 as double) as elapsed_s
