@@ -1,6 +1,6 @@
 """Stateful processors for feeds that arrive out of order and never end.
 
-Each keeps its state in Spark's state store, per camera or per alert, and bounds it: frames wait only for
+Each keeps its state in Spark's state store, per camera or per bucket of alerts, and bounds it: frames wait only for
 their connection's watermark, tracks until they are idle, alerts until their time to live is over. A camera
 that falls silent is closed by a timer. Needs the RocksDB state store (:func:`durable_state`).
 
@@ -367,47 +367,68 @@ _ALERT_COLUMNS = [c.split()[0] for c in ALERT.split(", ")]
 _KEPT = _ALERT_COLUMNS[3:-1]
 
 
+#: What the alerts of a feed are dealt over: state is read and written, and Python called, once per bucket and micro-batch.
+BUCKETS = 1024
+_SIGHTING = {"track_id": "string", "entry_id": "string", "solo": "string", "seq": "bigint", "confidence": "double", "matched_via": "string",
+             "repaired": "boolean", "source": "string", "priority": "string", "camera_id": "string", "recorded_ms": "bigint", "pipeline_latency_ms": "bigint"}
+
+
 class AlertProcessor(StatefulProcessor):
     """One alert per (track, entry), raised by its first sighting and only ever lifted by later ones.
 
-    The state lives for ``ttl_ms`` after the last sighting. Whether an alert is new or updated follows from it.
+    A key of the state is a bucket of alerts, held as one text. An alert in it lives for ``ttl_ms`` after its last
+    sighting, and the bucket as long as its youngest. Whether an alert is new or updated follows from that.
     """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.alert = handle.getValueState("alert", "alert string", self.ttl_ms)
+        self.alerts = handle.getValueState("alerts", "alerts string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        a = json.loads(self.alert.get()[0]) if self.alert.exists() else None
-        change = "alert" if a is None else "alert.updated"
-        for r in sorted(rows, key=lambda r: r["seq"]):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        stored = json.loads(self.alerts.get()[0]) if self.alerts.exists() else []
+        known = {tuple(name): (at, a) for name, at, a in stored if at + self.ttl_ms > now}
+        changes: dict[tuple, str] = {}
+        alert = Row(*_ALERT_COLUMNS)
+        # By order, in every alert of the bucket; one without an order comes last.
+        for _, *name, seq, confidence, matched_via, repaired, source, priority, camera, recorded, latency in sorted(rows, key=lambda r: (r[4] is None, r[4])):
+            name = tuple(name)
+            a = known[name][1] if name in known else None
+            if name not in changes:
+                changes[name] = "alert" if a is None else "alert.updated"
             if a is None:
-                a = {"first_order": r["seq"], **{c: r[c] for c in FIRST}, "confidence": r["confidence"], "matched_via": r["matched_via"],
-                     "repaired": r["repaired"], "last_seen_ms": None, "last_order": r["seq"], "sightings": 0}
-            elif r["confidence"] > a["confidence"]:
-                a.update(confidence=r["confidence"], matched_via=r["matched_via"], repaired=r["repaired"])
+                a = {"first_order": seq, "source": source, "priority": priority, "camera_id": camera, "recorded_ms": recorded, "pipeline_latency_ms": latency,
+                     "confidence": confidence, "matched_via": matched_via, "repaired": repaired, "last_seen_ms": None, "last_order": seq, "sightings": 0}
+            elif confidence is not None and (a["confidence"] is None or confidence > a["confidence"]):
+                a.update(confidence=confidence, matched_via=matched_via, repaired=repaired)
             a["sightings"] += 1
             if a["sightings"] > 1:
-                a.update(last_seen_ms=r["recorded_ms"], last_order=r["seq"])
-        self.alert.update((json.dumps(a),))
-        yield Row(**dict(zip(_ALERT_COLUMNS, (*key, *[a[c] for c in _KEPT], change))))
+                a.update(last_seen_ms=recorded, last_order=seq)
+            known[name] = now, a
+        self.alerts.update((json.dumps([(name, *held) for name, held in known.items()]),))
+        for name, change in changes.items():
+            a = known[name][1]
+            yield alert(*name, *[a[c] for c in _KEPT], change)
 
     def close(self) -> None:
         pass
 
 
-def live_alerts(sightings: DataFrame, order: str = "seq", ttl_ms: int = ALERT_TTL_MS) -> DataFrame:
+def live_alerts(sightings: DataFrame, order: str = "seq", ttl_ms: int = ALERT_TTL_MS, buckets: int = BUCKETS) -> DataFrame:
     """New and updated alerts per micro-batch, with state that expires. Rows of one alert come in order of ``order``.
 
     After its state is gone, a further sighting looks like a new alert; :func:`kept_whole` makes it an update.
+    A task holds the sightings that a bucket gets in one micro-batch and its living alerts. ``buckets`` stays the
+    same for the life of a checkpoint.
     """
     durable_state(sightings.sparkSession)
     keyless = F.col("track_id").isNull() | F.col("entry_id").isNull()
     # A null in the key would cut its rows into groups of one.
     rows = sightings.withColumns({"seq": F.col(order).cast("bigint"), "solo": F.when(keyless, F.col(order).cast("string")).otherwise("")})
-    out = rows.groupBy(*KEY, "solo").transformWithState(AlertProcessor(ttl_ms), ALERT, "Update", "ProcessingTime")
+    dealt = rows.select(F.pmod(F.xxhash64(*KEY, "solo"), F.lit(buckets)).alias("bucket"), *[F.col(c).cast(kind) for c, kind in _SIGHTING.items()])
+    out = dealt.groupBy("bucket").transformWithState(AlertProcessor(ttl_ms), ALERT, "Update", "ProcessingTime")
     return out.withColumn("alert_id", alert_id(F.col("track_id"), F.col("entry_id"), F.col("solo"))).drop("solo")
 
 

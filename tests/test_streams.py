@@ -166,6 +166,56 @@ def test_expired_alerts_are_read_from_the_table(spark, folder):
         assert len(new) == len(set(new)) == 6  # every alert is new once
 
 
+def test_alert_state_is_one_row_per_bucket_however_many_alerts(spark, folder):
+    rows = [sight(i, f"t{i % 3000}", 0.5 + i % 7 / 20) for i in range(1, 9001)]
+    stream = landed(spark, folder, [rows[:5000], rows[5000:]], SIGHT)
+    pipeline.alert_stream(stream, out=f"{folder}/alerts", checkpoint=f"{folder}/cp", available_now=True).awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "alerts").load(f"{folder}/cp")
+    assert 0 < held.count() <= processors.BUCKETS < 3000
+    want = alerts.fold_alerts(spark.createDataFrame(rows, SIGHT)).drop("alert_id")
+    got = sinks.read_alerts(spark, f"{folder}/alerts").select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+class Kept:
+    """A value state, and the clock of its micro-batch."""
+
+    def __init__(self):
+        self.value, self.now = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_alerts_of_a_bucket_expire_each_for_itself_and_nulls_come_last():
+    kept, taken = Kept(), processors.AlertProcessor(10)
+    taken.init(kept)
+
+    def batch(now, *rows):
+        kept.now = now
+        read = [(0, track, "e", "", seq, conf, f"via{seq}", False, "s", "high", "c", seq, 1) for seq, track, conf in rows]
+        return {r.track_id: (r.change, r.first_order, r.confidence, r.matched_via, r.last_seen_ms, r.sightings) for r in taken.handleInputRows((0,), iter(read), kept)}
+
+    assert batch(0, (2, "a", 0.5), (1, "a", 0.5), (None, "b", None)) == {
+        "a": ("alert", 1, 0.5, "via1", 2, 2), "b": ("alert", None, None, "viaNone", None, 1)}
+    assert batch(5, (9, "b", 0.4), (8, "b", None)) == {"b": ("alert.updated", None, 0.4, "via9", 9, 3)}
+    # Twelve after its last sighting a is forgotten; b, seen seven ago, is not. Neither is c, of which nothing was known.
+    assert batch(12, (3, "a", 0.1), (4, "b", 0.9), (5, "c", 0.2)) == {
+        "a": ("alert", 3, 0.1, "via3", None, 1), "b": ("alert.updated", None, 0.9, "via4", 4, 4), "c": ("alert", 5, 0.2, "via5", None, 1)}
+
+
 def feed(n, seed):
     """Frames of two cameras, with a second connection each, breaks, and when each frame lands."""
     rng, rows, pts = random.Random(seed), [], {}
